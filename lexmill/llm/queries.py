@@ -1,0 +1,40 @@
+"""Named queries of the subpackage over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexmill.llm import common, distinctive, frequency, topn
+from lexmill.sources.tables import table
+
+
+def _frequencies(s, d):
+    return frequency.value_frequencies(common.valid_postings(table(s, d, "postings")), "term", "doc_id", F.col("tf"))
+
+
+def _marked(s, d):
+    n = frequency.record_count(common.valid_postings(table(s, d, "postings")), "doc_id").scalar()
+    return frequency.marked_frequencies(_frequencies(s, d), n)
+
+
+def _top(s, d):
+    return topn.top_n(table(s, d, "bm25_scores"), "qid", "doc_id", "score", 10)
+
+
+def _distinctive(s, d):
+    return distinctive.distinctiveness(common.valid_postings(table(s, d, "postings")), table(s, d, "doc_stats"))
+
+
+def p6_found(s, d):
+    scored = _distinctive(s, d)
+    return scored.filter("df between 2 and 8 and tf * 5 >= doc_total").select("doc_id", "term")
+
+
+QUERIES = {
+    "p2_found": lambda s, d: _marked(s, d).filter("mark is not null").select("term", "mark"),
+    "p2_frequencies": _marked,
+    "p3_found": lambda s, d: _top(s, d).select("qid", "doc_id"),
+    "p3_top": _top,
+    "p6_found": p6_found,
+    "p6_scores": lambda s, d: _distinctive(s, d).withColumn("score", F.round("score", 6)),
+}
