@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import common, distinctive, frequency, topn
+from lexmill.llm import common, distinctive, frequency, neardup, topn
 from lexmill.sources.tables import table
 
 
@@ -30,11 +30,23 @@ def p6_found(s, d):
     return scored.filter("df between 2 and 8 and tf * 5 >= doc_total").select("doc_id", "term")
 
 
+def p5_found(s, d):
+    pairs = neardup.near_duplicate_pairs(table(s, d, "collection_docs"), "doc_id", "text", width=3, threshold=0.6)
+    return pairs.select(F.col("record_a").alias("doc_id_a"), F.col("record_b").alias("doc_id_b"))
+
+
+def p5_groups(s, d):
+    groups = neardup.near_duplicate_groups(table(s, d, "collection_docs"), "doc_id", "text", width=3, threshold=0.6)
+    return groups.select(F.col("record").alias("doc_id"), F.col("group").alias("group_id"), "links")
+
+
 QUERIES = {
     "p2_found": lambda s, d: _marked(s, d).filter("mark is not null").select("term", "mark"),
     "p2_frequencies": _marked,
     "p3_found": lambda s, d: _top(s, d).select("qid", "doc_id"),
     "p3_top": _top,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_scores": lambda s, d: _distinctive(s, d).withColumn("score", F.round("score", 6)),
 }
