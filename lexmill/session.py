@@ -57,6 +57,14 @@ def task_count(df: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over enough tasks for CPU-bound work: as it is if its scan has a partition per core, else
+    repartitioned by ``keys`` (a hash, so that a lost task can be done again with the same rows)."""
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(task_count(df), *keys)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read back.
 
