@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import common, distinctive, frequency, neardup, topn
+from lexmill.llm import bpe, common, distinctive, frequency, neardup, neighbours, topn
 from lexmill.sources.tables import table
 
 
@@ -40,7 +40,21 @@ def p5_groups(s, d):
     return groups.select(F.col("record").alias("doc_id"), F.col("group").alias("group_id"), "links")
 
 
+def p1_found(s, d):
+    nearest = neighbours.most_similar(table(s, d, "term_vectors"), "id", "vec", k=10, least=0.9)
+    return neighbours.mutual_pairs(nearest, "id")
+
+
+def p1_nearest(s, d):
+    """The ten most similar terms of every twentieth term, against all terms."""
+    vectors = table(s, d, "term_vectors")
+    asked = vectors.filter("id % 20 = 0").select("id").distinct()
+    return neighbours.most_similar(vectors, "id", "vec", k=10, queries=asked).withColumn("cosine", F.round("cosine", 6))
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_nearest": p1_nearest,
     "p2_found": lambda s, d: _marked(s, d).filter("mark is not null").select("term", "mark"),
     "p2_frequencies": _marked,
     "p3_found": lambda s, d: _top(s, d).select("qid", "doc_id"),
@@ -49,4 +63,5 @@ QUERIES = {
     "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_scores": lambda s, d: _distinctive(s, d).withColumn("score", F.round("score", 6)),
+    "p8_ids": lambda s, d: bpe.encoded(table(s, d, "documents"), "doc_id", "text"),
 }
