@@ -16,6 +16,11 @@ DISTINCTIVE = f"""with {VALID}, dfs as (select term, count(*) as df from valid g
     rows as (select v.doc_id, v.term, tf, df, doc_total, greatest(doc_total, coalesce(recorded, 0)) as doc_len
         from valid v join dfs using (term) join totals t on t.doc_id = v.doc_id left join recorded r on r.doc_id = v.doc_id)"""
 
+FUSED = """with once as (select qid, doc_id, max(lex_score) as lex, max(sem_score) as sem from adaptive_scores
+    where qid is not null and doc_id is not null group by 1, 2),
+    lex as (select qid, doc_id from once where lex is not null qualify row_number() over (partition by qid order by lex desc, doc_id) <= 10),
+    sem as (select qid, doc_id from once where sem is not null qualify row_number() over (partition by qid order by sem desc, doc_id) <= 10)"""
+
 SQL = {
     "p2_found": f"{FREQUENCIES} select term, mark from marked where mark is not null",
     "p2_frequencies": f"{FREQUENCIES} select * from marked",
@@ -23,4 +28,5 @@ SQL = {
     "p3_top": f"{TOP} select * from ranked where rank <= 10",
     "p6_found": f"{DISTINCTIVE} select doc_id, term from rows where df between 2 and 8 and tf * 5 >= doc_total",
     "p6_scores": f"""{DISTINCTIVE} select *, round(tf / doc_len * (ln((1 + (select count(*) from totals)) / (1 + df)) + 1), 6) as score from rows""",
+    "p7_found": f"{FUSED} select qid, doc_id from lex join sem using (qid, doc_id)",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, common, distinctive, frequency, neardup, neighbours, topn
+from lexmill.llm import bpe, common, distinctive, frequency, fusion, neardup, neighbours, topn
 from lexmill.sources.tables import table
 
 
@@ -52,6 +52,10 @@ def p1_nearest(s, d):
     return neighbours.most_similar(vectors, "id", "vec", k=10, queries=asked).withColumn("cosine", F.round("cosine", 6))
 
 
+def _fused(s, d):
+    return fusion.fused_ranking(table(s, d, "adaptive_scores"), "qid", "doc_id", ["lex_score", "sem_score"])
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
@@ -63,5 +67,7 @@ QUERIES = {
     "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_scores": lambda s, d: _distinctive(s, d).withColumn("score", F.round("score", 6)),
+    "p7_found": lambda s, d: _fused(s, d).filter("rank_lex_score <= 10 and rank_sem_score <= 10").select("qid", "doc_id"),
+    "p7_ranking": _fused,
     "p8_ids": lambda s, d: bpe.encoded(table(s, d, "documents"), "doc_id", "text"),
 }
