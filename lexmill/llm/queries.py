@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, common, distinctive, frequency, fusion, neardup, neighbours, topn
+from lexmill.llm import bpe, common, distinctive, frequency, fusion, leakage, neardup, neighbours, topn
 from lexmill.sources.tables import table
 
 
@@ -56,6 +56,10 @@ def _fused(s, d):
     return fusion.fused_ranking(table(s, d, "adaptive_scores"), "qid", "doc_id", ["lex_score", "sem_score"])
 
 
+def _leaked(s, d):
+    return leakage.leaked_passages(table(s, d, "documents"), "doc_id", "text", table(s, d, "eval_items"), "item_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
@@ -70,4 +74,6 @@ QUERIES = {
     "p7_found": lambda s, d: _fused(s, d).filter("rank_lex_score <= 10 and rank_sem_score <= 10").select("qid", "doc_id"),
     "p7_ranking": _fused,
     "p8_ids": lambda s, d: bpe.encoded(table(s, d, "documents"), "doc_id", "text"),
+    "p9_found": lambda s, d: _leaked(s, d).select("doc_id", "item_id"),
+    "p9_matches": _leaked,
 }
