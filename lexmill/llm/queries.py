@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, common, distinctive, frequency, fusion, leakage, neardup, neighbours, topn
+from lexmill.llm import bpe, common, distinctive, frequency, fusion, leakage, neardup, neighbours, stuffing, topn
 from lexmill.sources.tables import table
 
 
@@ -60,6 +60,10 @@ def _leaked(s, d):
     return leakage.leaked_passages(table(s, d, "documents"), "doc_id", "text", table(s, d, "eval_items"), "item_id", "text")
 
 
+def _stuffed(s, d):
+    return stuffing.stuffed_pages(table(s, d, "documents"), "doc_id", "text", "lang")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
@@ -76,4 +80,6 @@ QUERIES = {
     "p8_ids": lambda s, d: bpe.encoded(table(s, d, "documents"), "doc_id", "text"),
     "p9_found": lambda s, d: _leaked(s, d).select("doc_id", "item_id"),
     "p9_matches": _leaked,
+    "p10_found": lambda s, d: _stuffed(s, d).filter("flagged").select("doc_id"),
+    "p10_pages": lambda s, d: _stuffed(s, d).select("doc_id", "lang", "n_parts", *[F.round(c, 6).alias(c) for c in ("listed", "slope_z", "residual_z")], "flagged"),
 }
