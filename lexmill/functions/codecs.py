@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 Encoder = Callable[[Column], Column]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often (and in whatever lambdas) the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def gaps(values: Column) -> Column:
     """Differences to the element before; the first element stays as it is."""
-    return F.transform(values, lambda v, i: v - F.when(i > 0, F.get(values, i - 1)).otherwise(F.lit(0)))
+    return _let(values, lambda vs: F.transform(vs, lambda v, i: v - F.when(i > 0, F.get(vs, i - 1)).otherwise(F.lit(0))))
 
 
 def ungap(values: Column) -> Column:
@@ -44,12 +49,13 @@ def raw_encode(values: Column) -> Column:
 
 
 def raw_decode(data: Column) -> Column:
-    text = F.hex(data)
+    def words(text: Column) -> Column:
+        def word(i: Column) -> Column:
+            return F.conv(F.concat(*[F.substring(text, i * 16 + (15 - 2 * j), F.lit(2)) for j in range(8)]), 16, 10).cast("bigint")
 
-    def word(i: Column) -> Column:
-        return F.conv(F.concat(*[F.substring(text, i * 16 + (15 - 2 * j), F.lit(2)) for j in range(8)]), 16, 10).cast("bigint")
+        return _per_index(F.length(text) / 16, word)
 
-    return _per_index(F.octet_length(data) / 8, word)
+    return _let(F.hex(data), words)
 
 
 def _per_index(n: Column, value: Callable[[Column], Column]) -> Column:
@@ -81,14 +87,11 @@ def vbe_encode(values: Column) -> Column:
 
 def vbe_decode(data: Column) -> Column:
     """One pass over the bytes with the number under construction as state."""
-    text = F.hex(data)
-    size = F.octet_length(data)
-    codes = F.transform(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-        lambda i: F.conv(F.substring(text, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"),
-    )
     start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("open"))
 
+    def codes(text: Column) -> Column:
+        return _per_index(F.length(text) / 2, lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
+
     def take(acc: Column, c: Column) -> Column:
         number = acc["open"] * 128 + c % 128
         last = c >= 128
@@ -97,7 +100,7 @@ def vbe_decode(data: Column) -> Column:
             F.when(last, F.lit(0).cast("bigint")).otherwise(number).alias("open"),
         )
 
-    return F.when(size > 0, F.aggregate(codes, start, take, lambda acc: acc["done"])).otherwise(start["done"])
+    return F.aggregate(_let(F.hex(data), codes), start, take, lambda acc: acc["done"])
 
 
 # --- Elias gamma of n + 1, behind a four-byte big-endian count -----------------------------------------------
@@ -114,29 +117,28 @@ def _gamma(v: Column) -> Column:
 
 
 def gamma_encode(values: Column) -> Column:
-    bits = _joined(values, _gamma)
-    n_bytes = F.ceil(F.length(bits) / 8).cast("int")
-    padded = F.rpad(bits, n_bytes * 8, F.lit("0"))
-    body = F.array_join(
-        F.transform(F.sequence(F.lit(0), F.greatest(n_bytes, F.lit(1)) - 1), lambda i: F.lpad(F.conv(F.substring(padded, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), ""
-    )
-    return F.when(F.size(values) > 0, F.unhex(F.concat(F.lpad(F.hex(F.size(values)), 8, "0"), body))).otherwise(F.unhex(F.lit("")))
+    def body(bits: Column) -> Column:
+        n_bytes = F.ceil(F.length(bits) / 8).cast("int")
+        byte = lambda i: F.lpad(F.conv(F.rpad(F.substring(bits, i * 8 + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n_bytes, F.lit(1)) - 1), byte), "")
+
+    coded = _let(_joined(values, _gamma), body)
+    return F.when(F.size(values) > 0, F.unhex(F.concat(F.lpad(F.hex(F.size(values)), 8, "0"), coded))).otherwise(F.unhex(F.lit("")))
 
 
 def gamma_decode(data: Column) -> Column:
     """One pass over the bits; state: zeros seen, bits still to take, the number so far."""
-    text = F.substring(F.hex(data), 9, 1 << 30)
-    count = F.conv(F.substring(F.hex(data), 1, 8), 16, 10).cast("bigint")
-    n = F.length(text)
-    bits = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda i: F.transform(
-                F.array(*[F.lit(x) for x in (3, 2, 1, 0)]),
-                lambda s: F.call_function("shiftright", F.conv(F.substring(text, i, F.lit(1)), 16, 10).cast("int"), s).bitwiseAND(F.lit(1)),
-            ),
-        )
-    )
+    count = F.conv(F.substring(F.hex(F.substring(data, 1, 4)), 1, 8), 16, 10).cast("bigint")
+
+    def all_bits(text: Column) -> Column:
+        def nibble(i: Column) -> Column:
+            value = F.conv(F.substring(text, i + 1, F.lit(1)), 16, 10).cast("bigint")
+            return F.transform(F.array(*[F.lit(x) for x in (8, 4, 2, 1)]), lambda b: (F.floor(value / b) % 2).cast("bigint"))
+
+        n = F.length(text)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), nibble))
+
+    bits = _let(F.substring(F.hex(data), 9, 1 << 30), all_bits)
     zero = F.lit(0).cast("bigint")
     start = F.struct(F.array().cast("array<bigint>").alias("done"), zero.alias("zeros"), zero.alias("left"), zero.alias("open"))
 

@@ -1,6 +1,9 @@
 """The queries in SQL, written from the statements and formulas, not from the Spark plans."""
 
+from lexmill.plans.oracles_retrieval import SQL as RETRIEVAL
+
 SQL = {
+    **RETRIEVAL,
     "p4_found": """with rows as (select lower(trim(term)) as term from postings where trim(term) <> '')
         select term from rows group by term having count(*) * 100 >= 3 * (select count(*) from rows)""",
     "p4_term_loads": """select lower(trim(term)) as term, count(*) as n_rows,

@@ -1 +1,208 @@
-QUERIES = {}
+"""Named queries of the retrieval engine over the test tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lexmill.functions import vectors
+from lexmill.functions.text import clean_tokens, raw_tokens, with_stem
+from lexmill.operators import dictionary, hybrid, lsi, metrics, ranking, snippets
+from lexmill.operators import index as ix
+from lexmill.plans import evaluate
+from lexmill.session import shared_folder, spread
+from lexmill.sources import tables
+from lexmill.streaming import blocks
+
+
+def _docs(s, d) -> DataFrame:
+    return tables.collection_table(s, d)
+
+
+def _queries(s, d) -> DataFrame:
+    return tables.queries_table(s, d)
+
+
+def _index(s, d) -> ix.Index:
+    return ix.Index.build(spread(_docs(s, d), "doc_id"))
+
+
+def vocab_stems(s, d):
+    tokens = raw_tokens(_docs(s, d)).select("token").distinct()
+    return with_stem(tokens, "token", "stem")
+
+
+def token_counts_by_lang(s, d):
+    rows = raw_tokens(tables.table(s, d, "documents").select("doc_id", "text", "lang"), keep=("lang", "doc_id"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_tokens"), F.countDistinct("token").alias("n_distinct"))
+
+
+def postings_lists(s, d):
+    lists = ix.postings_lists(_index(s, d).postings)
+    return lists.select("term", "chunk", "df", F.array_join("doc_ids", ",").alias("ids"), F.array_join("tfs", ",").alias("tfs"))
+
+
+def _hex(codec: str):
+    def query(s, d):
+        coded = ix.encoded_lists(ix.postings_lists(_index(s, d).postings), codec)
+        return coded.select("term", "chunk", F.hex("postings_bytes").alias("postings_hex"), F.hex("tf_bytes").alias("tf_hex"))
+
+    return query
+
+
+def _roundtrip(codec: str):
+    def query(s, d):
+        lists = ix.postings_lists(_index(s, d).postings)
+        back = ix.decoded_lists(ix.encoded_lists(lists, codec), codec)
+        return back.select("term", "chunk", F.array_join("doc_ids", ",").alias("ids"), F.array_join("tfs", ",").alias("tfs"))
+
+    return query
+
+
+def merged_postings(s, d):
+    return ix.merge_postings(ix.block_postings(spread(_docs(s, d), "doc_id")))
+
+
+def embedding_ip_topk(s, d, k: int = 10):
+    """The k embeddings of greatest cosine for every twentieth one, itself left out; queries go out in blocks."""
+    rows = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), vectors.unit(F.col("embedding")).alias("vec"))
+    asked = rows.filter("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("qid"), "vec")
+    near = lsi.semantic_top(rows, asked, k + 1).filter("qid <> cast(doc_id as string)")
+    order = W.partitionBy("qid").orderBy("rank")
+    ranked = near.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    return ranked.select(F.col("qid").cast("bigint").alias("vec_id"), "rank", F.col("doc_id").alias("neighbour"), F.round("score", 5).alias("score"))
+
+
+def _lists(s, d):
+    rows = tables.table(s, d, "adaptive_scores").filter("qid is not null and doc_id is not null")
+    once = rows.groupBy("qid", "doc_id").agg(F.max("lex_score").alias("lex"), F.max("sem_score").alias("sem"))
+    pick = lambda c: ranking.top_k(once.filter(F.col(c).isNotNull()).select("qid", "doc_id", F.col(c).alias("score")), hybrid.DEPTH, "qid")
+    return pick("lex"), pick("sem")
+
+
+def hybrid_fusion(s, d):
+    return hybrid.fuse(*_lists(s, d), _queries(s, d), k=10)
+
+
+def hybrid_candidates(s, d):
+    """qid, n_lexical, n_semantic, n_union of the candidate lists."""
+    lex, sem = _lists(s, d)
+    both = lex.select("qid", "doc_id", F.lit(1).alias("l")).join(sem.select("qid", "doc_id", F.lit(1).alias("s")), ["qid", "doc_id"], "full_outer")
+    return both.groupBy("qid").agg(F.count("l").alias("n_lexical"), F.count("s").alias("n_semantic"), F.count("*").alias("n_union"))
+
+
+def _run(s, d, k: int = 100):
+    return ranking.bm25(_index(s, d), _queries(s, d), k)
+
+
+def _judged(s, d, k: int = 100):
+    run = _run(s, d, k)
+    return metrics.judged(run, evaluate.verbatim(run, _docs(s, d), _queries(s, d)))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def eval_report(s, d):
+    index, queries = _index(s, d), _queries(s, d)
+    methods = evaluate.lexical_methods(index)
+    ranked = {name: method(queries, 100) for name, method in methods.items()}
+    rankings = {name: metrics.judged(run, evaluate.verbatim(run, _docs(s, d), queries)) for name, run in ranked.items()}
+    return _rounded(metrics.report(queries, rankings), *[f"mean_{m}" for m in ("rbp", "dcg", "ndcg", "ap")])
+
+
+def snippet_window(s, d):
+    best = snippets.best_windows(_run(s, d, 5), _docs(s, d), _queries(s, d))
+    return best.select("qid", "doc_id", F.col("start").cast("bigint").alias("start"), "n_hits")
+
+
+def lsi_singular_values(s, d):
+    sigma = lsi.fit(_index(s, d), rank=50).sigma
+    return s.createDataFrame([(i + 1, round(x, 6)) for i, x in enumerate(sigma)], "rank bigint, sigma double")
+
+
+def lsi_topk(s, d):
+    fitted = lsi.fit(_index(s, d))
+    return lsi.semantic_top(fitted.docs, lsi.query_vectors(fitted, _queries(s, d)), 10)
+
+
+def hybrid_topk(s, d):
+    index = _index(s, d)
+    return evaluate.adaptive_method(index, lsi.fit(index))(_queries(s, d), 10)
+
+
+def stream_index_blocks(s, d):
+    """The merged index of a stream that delivers the files of the collection."""
+    source = tables.table(s, d, "collection_docs")
+    base = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    path = f"{d}/collection_docs.parquet"
+    if len(source.inputFiles()) == 1 and source.inputFiles()[0].rstrip("/").endswith("collection_docs.parquet"):
+        stream = s.readStream.schema(source.schema).option("pathGlobFilter", "collection_docs.parquet").parquet(d)
+    else:
+        stream = s.readStream.schema(source.schema).parquet(path)
+    blocks.index_stream(stream.select("doc_id", "text"), f"{base}/blocks", f"{base}/checkpoint").awaitTermination()
+    return blocks.merged(s, f"{base}/blocks").postings
+
+
+QUERIES = {
+    "tokens_raw": lambda s, d: raw_tokens(_docs(s, d)),
+    "tokens_clean": lambda s, d: clean_tokens(_docs(s, d)),
+    "vocab_stems": vocab_stems,
+    "token_counts_by_lang": token_counts_by_lang,
+    "term_dictionary": lambda s, d: dictionary.dense_ids(_index(s, d).terms, "term", "term_id"),
+    "doc_dictionary": lambda s, d: dictionary.dense_ids(tables.table(s, d, "collection_docs").filter("doc_id is not null"), "doc_name", "doc_key"),
+    "term_freq": lambda s, d: _index(s, d).postings,
+    "doc_freq": lambda s, d: _index(s, d).terms,
+    "doc_length": lambda s, d: _index(s, d).docs,
+    "corpus_stats": lambda s, d: _rounded(_index(s, d).stats, "avgdl"),
+    "postings_lists": postings_lists,
+    "block_postings": lambda s, d: ix.block_postings(_docs(s, d)),
+    "merged_postings": merged_postings,
+    "idf_table": lambda s, d: _rounded(_index(s, d).weighted_terms(), "idf_tfidf", "idf_bm25", "ub"),
+    "wand_bounds": lambda s, d: _rounded(_index(s, d).weighted_terms(1.6).select("term", "ub"), "ub"),
+    "postings_gaps": lambda s, d: ix.postings_gaps(_index(s, d).postings),
+    "gaps_decoded": lambda s, d: ix.gaps_decoded(ix.postings_gaps(_index(s, d).postings)),
+    "standard_hex": _hex("standard"),
+    "vbe_hex": _hex("vbe"),
+    "elias_hex": _hex("elias"),
+    "standard_roundtrip": _roundtrip("standard"),
+    "vbe_roundtrip": _roundtrip("vbe"),
+    "elias_roundtrip": _roundtrip("elias"),
+    "codec_sizes": lambda s, d: ix.codec_sizes(_index(s, d).postings),
+    "prefix_lookup": lambda s, d: _index(s, d).prefix("card").select("term", "df"),
+    "term_lookup": lambda s, d: _index(s, d).lookup("heart", "rat", "human"),
+    "tree_nodes": lambda s, d: dictionary.tree_nodes(_index(s, d).terms),
+    "membership_semi": lambda s, d: dictionary.known(ranking.query_terms(_queries(s, d)), _index(s, d).terms, "term"),
+    "unknown_terms_anti": lambda s, d: dictionary.unknown(ranking.query_terms(_queries(s, d)), _index(s, d).terms, "term"),
+    "query_terms": lambda s, d: ranking.query_terms(_queries(s, d)),
+    "tfidf_topk": lambda s, d: ranking.tfidf(_index(s, d), _queries(s, d)),
+    "bm25_topk": lambda s, d: ranking.bm25(_index(s, d), _queries(s, d)),
+    "bm25_dedup_topk": lambda s, d: ranking.bm25(_index(s, d), _queries(s, d), dedup=True),
+    "bm25_params": lambda s, d: ranking.bm25(_index(s, d), _queries(s, d), k=20, k1=1.6, b=0.5),
+    "bm25_pruned_topk": lambda s, d: ranking.bm25_pruned(_index(s, d), _queries(s, d)),
+    "pruning_stats": lambda s, d: ranking.pruning_statistics(_index(s, d), _queries(s, d)),
+    "documents_bm25": lambda s, d: ranking.bm25(ix.Index.build(spread(tables.documents_table(s, d), "doc_id")), _queries(s, d)),
+    "weight_matrix": lambda s, d: _rounded(ranking.weight_matrix(_index(s, d)), "weight"),
+    "embedding_norms": lambda s, d: tables.table(s, d, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 5).alias("norm")),
+    "embedding_ip_topk": embedding_ip_topk,
+    "hybrid_fusion": hybrid_fusion,
+    "hybrid_candidates": hybrid_candidates,
+    "snippet_window": snippet_window,
+    "snippet_text": lambda s, d: snippets.snippets(_run(s, d, 5), _docs(s, d), _queries(s, d)),
+    "qrels_join": lambda s, d: _judged(s, d).select("qid", "rank", "doc_id", F.col("rel").cast("bigint").alias("rel")),
+    "metric_rbp": lambda s, d: _rounded(metrics.rbp(_judged(s, d)), "rbp"),
+    "metric_dcg": lambda s, d: _rounded(metrics.dcg(_judged(s, d)), "dcg"),
+    "metric_dcg_at_p": lambda s, d: _rounded(metrics.dcg(_judged(s, d), 5), "dcg"),
+    "metric_ndcg": lambda s, d: _rounded(metrics.ndcg(_judged(s, d)), "ndcg"),
+    "metric_ndcg_at_p": lambda s, d: _rounded(metrics.ndcg(_judged(s, d), 5), "ndcg"),
+    "metric_ap": lambda s, d: _rounded(metrics.ap(_judged(s, d)), "ap"),
+    "eval_report": eval_report,
+    "lsi_singular_values": lsi_singular_values,
+    "lsi_topk": lsi_topk,
+    "hybrid_topk": hybrid_topk,
+    "stream_index_blocks": stream_index_blocks,
+}
