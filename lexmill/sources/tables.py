@@ -13,9 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def text_collection(spark: SparkSession, root: str) -> DataFrame:
     """Files ``root/<block>/<number>.txt``: block, doc_name, doc_id, text.
 
-    One row per file; invalid UTF-8 becomes U+FFFD. A file without a number as its name has a null doc_id.
+    One row per file; files without a byte give none, as Spark's file scans skip them (they hold no token and
+    count for no statistic). Invalid UTF-8 becomes U+FFFD. A file without a number as its name has a null doc_id.
     """
-    files = spark.read.text(f"{root.rstrip('/')}/*/*", wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("doc_name"))
+    content = F.make_valid_utf8(F.col("content").cast("string"))
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select(content.alias("text"), F.col("path").alias("doc_name"))
     return files.select(
         F.regexp_extract("doc_name", "([^/]+)/[^/]+$", 1).alias("block"),
         "doc_name",
