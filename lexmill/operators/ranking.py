@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import scoring
 from lexmill.functions.text import clean_tokens
 from lexmill.operators.index import Index
+from lexmill.session import stored
 
 #: Digits that scores are rounded to before they are ranked, so that summation order can't change an order.
 DIGITS = 6
@@ -25,8 +26,13 @@ def query_terms(queries: DataFrame, dedup: bool = False) -> DataFrame:
 
 
 def bound_terms(index: Index, queries: DataFrame, dedup: bool = False) -> DataFrame:
-    """Query terms that the index knows: qid, term, qtf, df."""
-    return query_terms(queries, dedup).join(index.terms.select("term", "df"), "term")
+    """Query terms that the index knows: qid, term, qtf, df.
+
+    They are written once, so that the planner knows their size before it joins the postings: a small batch is
+    broadcast and the postings are filtered where they lie; a batch above the session's broadcast threshold
+    is joined by a shuffle.
+    """
+    return stored(query_terms(queries, dedup).join(index.terms.select("term", "df"), "term"), "asked")
 
 
 def top_k(scored: DataFrame, k: int, *keys: str, score: str = "score", item: str = "doc_id") -> DataFrame:
@@ -96,8 +102,10 @@ def pruned_candidates(index: Index, queries: DataFrame, k: int = 10, k1: float =
     The k-th best partial score is a lower bound of the k-th best score, as gains are positive. A document
     that was not met by an essential term can score rest_ub at most.
     """
-    terms = _essential(_bm25_terms(index, queries, True, k1))
+    # both are read several times below: the marked terms are few, the partial scores are the costly part
+    terms = stored(_essential(_bm25_terms(index, queries, True, k1)), "marked")
     partial = _gains(index, terms.filter("essential"), k1, b).groupBy("qid", "doc_id").agg(F.sum("gain").alias("partial"))
+    partial = stored(partial, "partial")
     best = top_k(partial, k, "qid", score="partial").groupBy("qid").agg(F.min("partial").alias("low"), F.count("*").alias("n"))
     theta = best.select("qid", F.when(F.col("n") >= k, F.col("low")).otherwise(0.0).alias("theta"))
     rest = terms.groupBy("qid").agg(F.max("rest_ub").alias("rest_ub"))
