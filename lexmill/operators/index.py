@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import scoring
 from lexmill.functions.codecs import CODECS
 from lexmill.functions.text import clean_tokens
-from lexmill.session import stored
+from lexmill.session import stored, task_count
 
 
 def block_postings(docs: DataFrame) -> DataFrame:
@@ -133,16 +133,39 @@ class Index:
 # --- postings lists ------------------------------------------------------------------------------------------
 
 
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    """Rows in ranges of (term, doc_id), the range's number in _part: a frequent term lies in several of them."""
+    ranged = rows.repartitionByRange(task_count(rows), "term", "doc_id")
+    return stored(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def _carried(per_range: DataFrame, carry: Column) -> DataFrame:
+    """term, _part, _carry of ranges that begin within a term; that is at most one term of each range, so the
+    table has no more rows than there are ranges and may be broadcast."""
+    return F.broadcast(per_range.withColumn("_carry", carry).filter("_carry is not null").select("term", "_part", "_carry"))
+
+
 def postings_gaps(postings: DataFrame) -> DataFrame:
-    """term, doc_id, tf, gap: difference to the document before in the term's list, the first id as it is."""
-    before = F.lag("doc_id", 1, 0).over(W.partitionBy("term").orderBy("doc_id"))
-    return postings.select("term", "doc_id", "tf", (F.col("doc_id") - before).alias("gap"))
+    """term, doc_id, tf, gap: difference to the document before in the term's list, the first id as it is.
+
+    Differences are taken within ranges and carried over their borders; no task holds a whole frequent term.
+    """
+    ranged = _in_ranges(postings.select("term", "doc_id", "tf"))
+    before = F.lag("doc_id").over(W.partitionBy("_part", "term").orderBy("doc_id"))
+    ends = ranged.groupBy("term", "_part").agg(F.max("doc_id").alias("_last"))
+    carried = _carried(ends, F.lag("_last").over(W.partitionBy("term").orderBy("_part")))
+    joined = ranged.withColumn("_before", before).join(carried, ["term", "_part"], "left")
+    return joined.select("term", "doc_id", "tf", (F.col("doc_id") - F.coalesce("_before", "_carry", F.lit(0))).alias("gap"))
 
 
 def gaps_decoded(gapped: DataFrame) -> DataFrame:
     """The inverse: ids as running sums of the gaps, in the order of the ids that are to come out."""
-    run = W.partitionBy("term").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return gapped.select("term", F.sum("gap").over(run).alias("doc_id"), "tf")
+    ranged = _in_ranges(gapped.select("term", "doc_id", "tf", "gap"))
+    run = W.partitionBy("_part", "term").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = ranged.groupBy("term", "_part").agg(F.sum("gap").alias("_sum"))
+    earlier = F.sum("_sum").over(W.partitionBy("term").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    joined = ranged.withColumn("_within", F.sum("gap").over(run)).join(_carried(sums, earlier), ["term", "_part"], "left")
+    return joined.select("term", (F.col("_within") + F.coalesce("_carry", F.lit(0))).alias("doc_id"), "tf")
 
 
 def postings_lists(postings: DataFrame, chunk: int = 4096) -> DataFrame:
