@@ -21,6 +21,20 @@ FUSED = """with once as (select qid, doc_id, max(lex_score) as lex, max(sem_scor
     lex as (select qid, doc_id from once where lex is not null qualify row_number() over (partition by qid order by lex desc, doc_id) <= 10),
     sem as (select qid, doc_id from once where sem is not null qualify row_number() over (partition by qid order by sem desc, doc_id) <= 10)"""
 
+SIMILAR = """with clean as (select id, any_value(vec) as vec from term_vectors where id is not null and vec is not null and len(vec) = 100
+        and len(list_filter(vec, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0 group by id),
+    near as (select a.id as a, b.id as b, round(list_cosine_similarity(a.vec, b.vec), 6) as c from clean a join clean b on a.id <> b.id),
+    top as (select a, b from near where c >= 0.9 qualify row_number() over (partition by a order by c desc, b) <= 10)"""
+
+RUNS = """words as (select id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from texts where text is not null),
+    runs as (select distinct id, array_to_string(list_slice(w, i, i + {n} - 1), ' ') as run from (select id, w, unnest(range(1, len(w) - {n} + 2)) as i from words where len(w) >= {n}))"""
+
+EDITED = f"""with texts as (select distinct doc_id as id, text from collection_docs where doc_id is not null), {RUNS.format(n=3)},
+    sizes as (select id, count(*) as n from runs group by id),
+    shared as (select a.id as a, b.id as b, count(*) as s from runs a join runs b on a.run = b.run and a.id < b.id group by 1, 2)"""
+
+LEAKED = f"""with texts as (select 2 * doc_id as id, text from documents union all select 2 * item_id + 1, text from eval_items), {RUNS.format(n=12)}"""
+
 SQL = {
     "p2_found": f"{FREQUENCIES} select term, mark from marked where mark is not null",
     "p2_frequencies": f"{FREQUENCIES} select * from marked",
@@ -29,4 +43,8 @@ SQL = {
     "p6_found": f"{DISTINCTIVE} select doc_id, term from rows where df between 2 and 8 and tf * 5 >= doc_total",
     "p6_scores": f"""{DISTINCTIVE} select *, round(tf / doc_len * (ln((1 + (select count(*) from totals)) / (1 + df)) + 1), 6) as score from rows""",
     "p7_found": f"{FUSED} select qid, doc_id from lex join sem using (qid, doc_id)",
+    "p1_found": f"{SIMILAR} select x.a as id_a, x.b as id_b from top x join top y on x.a = y.b and x.b = y.a where x.a < x.b",
+    "p5_found": f"""{EDITED} select a as doc_id_a, b as doc_id_b from shared join sizes x on x.id = a join sizes y on y.id = b
+        where s >= 0.6 * (x.n + y.n - s)""",
+    "p9_found": f"""{LEAKED} select distinct d.id // 2 as doc_id, i.id // 2 as item_id from runs d join runs i on d.run = i.run and d.id % 2 = 0 and i.id % 2 = 1""",
 }
