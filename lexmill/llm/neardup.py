@@ -128,8 +128,7 @@ def text_classes(rows: DataFrame, record: str, text: str, width: int) -> tuple[D
     digest = F.md5(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ","))
     named = stored(sets.withColumn("class", digest), "shingles")
     members = named.select("record", "class").distinct()
-    # an explicit number of partitions: signing is work for the CPU, which the bytes of the sets do not show
-    classes = named.repartition(task_count(rows), "class").groupBy("class").agg(F.first("shingles").alias("shingles"))
+    classes = named.groupBy("class").agg(F.first("shingles").alias("shingles"))
     return members, classes
 
 
@@ -156,7 +155,9 @@ def band_keys(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
                 names=["class", "n", "band_key"],
             )
 
-    return classes.select("class", "shingles").mapInArrow(sign, "class string, n int, band_key bigint")
+    # an explicit number of partitions: signing is work for the CPU, which the bytes of the sets do not show
+    spread_out = classes.select("class", "shingles").repartition(task_count(classes), "class")
+    return spread_out.mapInArrow(sign, "class string, n int, band_key bigint")
 
 
 def similar_classes(classes: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
