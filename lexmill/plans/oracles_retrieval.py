@@ -160,7 +160,7 @@ SQL = {
         ceil(sum(2 * length(bin(gap + 1)) - 1) / 8) + 4 as gp, ceil(sum(2 * length(bin(tf + 1)) - 1) / 8) + 4 as gt from gaps group by term)
         select 'standard' as codec, sum(n * 8)::bigint as postings_bytes, sum(n * 8)::bigint as tf_bytes from per
         union all select 'vbe', sum(vp)::bigint, sum(vt)::bigint from per union all select 'elias', sum(gp)::bigint, sum(gt)::bigint from per""",
-    "prefix_lookup": f"{BASE} select term, df from terms where starts_with(term, 'card')",
+    "prefix_lookup": f"{BASE} select term, df from terms where starts_with(term, 'brim')",
     "term_lookup": f"{BASE} select * from post where term in ('heart', 'rat', 'human')",
     "tree_nodes": f"""{BASE}, pre as (select distinct left(term, i) as p, i = length(term) as e, substr(term, (i + 1)::int, 1) as nx
             from (select term, unnest(range(1, length(term) + 1)) as i from terms)),
@@ -179,7 +179,7 @@ SQL = {
     "embedding_norms": "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) as norm from embeddings",
     "embedding_ip_topk": """with u as (select vec_id, embedding::double[] as e from embeddings),
         s as (select a.vec_id, b.vec_id as neighbour, round(list_cosine_similarity(a.e, b.e), 6) as c from u a join u b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
-        select vec_id, row_number() over (partition by vec_id order by c desc, neighbour) as rank, neighbour, round(c, 5) as score from s qualify rank <= 10""",
+        select vec_id, row_number() over (partition by vec_id order by c desc, neighbour) as rank, neighbour, c as score from s qualify rank <= 10""",
     "hybrid_fusion": base() .replace("with docs", FUSION.replace("with q as (select qid, min(text) as text from queries where qid is not null and text is not null group by qid),\n", "with ") + ", docs", 1) + """,
         b as (select *, min(lex) over w as ll, max(lex) over w as lh, min(sem) over w as sl, max(sem) over w as sh from cand window w as (partition by qid)),
         n as (select qid, count(*) as n from qall group by qid),

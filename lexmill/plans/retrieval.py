@@ -73,7 +73,7 @@ def embedding_ip_topk(s, d, k: int = 10):
     near = lsi.semantic_top(rows, asked, k + 1).filter("qid <> cast(doc_id as string)")
     order = W.partitionBy("qid").orderBy("rank")
     ranked = near.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
-    return ranked.select(F.col("qid").cast("bigint").alias("vec_id"), "rank", F.col("doc_id").alias("neighbour"), F.round("score", 5).alias("score"))
+    return ranked.select(F.col("qid").cast("bigint").alias("vec_id"), "rank", F.col("doc_id").alias("neighbour"), "score")
 
 
 def _lists(s, d):
@@ -173,7 +173,7 @@ QUERIES = {
     "vbe_roundtrip": _roundtrip("vbe"),
     "elias_roundtrip": _roundtrip("elias"),
     "codec_sizes": lambda s, d: ix.codec_sizes(_index(s, d).postings),
-    "prefix_lookup": lambda s, d: _index(s, d).prefix("card").select("term", "df"),
+    "prefix_lookup": lambda s, d: _index(s, d).prefix("brim").select("term", "df"),
     "term_lookup": lambda s, d: _index(s, d).lookup("heart", "rat", "human"),
     "tree_nodes": lambda s, d: dictionary.tree_nodes(_index(s, d).terms),
     "membership_semi": lambda s, d: dictionary.known(ranking.query_terms(_queries(s, d)), _index(s, d).terms, "term"),
