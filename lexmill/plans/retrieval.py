@@ -18,6 +18,10 @@ from lexmill.sources import tables
 from lexmill.streaming import blocks
 
 
+#: Depth of the reference's evaluation. The queries that are held against SQL stop where the SQL does, at 100.
+EVALUATED = 1000
+
+
 def _docs(s, d) -> DataFrame:
     return tables.collection_table(s, d)
 
@@ -107,10 +111,14 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def eval_report(s, d):
+def _judged_rows(s, d, k: int = 100):
+    return _judged(s, d, k).select("qid", "rank", "doc_id", F.col("rel").cast("bigint").alias("rel"))
+
+
+def eval_report(s, d, k: int = 100):
     index, queries = _index(s, d), _queries(s, d)
     methods = evaluate.lexical_methods(index)
-    ranked = {name: method(queries, 100) for name, method in methods.items()}
+    ranked = {name: method(queries, k) for name, method in methods.items()}
     rankings = {name: metrics.judged(run, evaluate.verbatim(run, _docs(s, d), queries)) for name, run in ranked.items()}
     return _rounded(metrics.report(queries, rankings), *[f"mean_{m}" for m in ("rbp", "dcg", "ndcg", "ap")])
 
@@ -193,7 +201,7 @@ QUERIES = {
     "hybrid_candidates": hybrid_candidates,
     "snippet_window": snippet_window,
     "snippet_text": lambda s, d: snippets.snippets(_run(s, d, 5), _docs(s, d), _queries(s, d)),
-    "qrels_join": lambda s, d: _judged(s, d).select("qid", "rank", "doc_id", F.col("rel").cast("bigint").alias("rel")),
+    "qrels_join": _judged_rows,
     "metric_rbp": lambda s, d: _rounded(metrics.rbp(_judged(s, d)), "rbp"),
     "metric_dcg": lambda s, d: _rounded(metrics.dcg(_judged(s, d)), "dcg"),
     "metric_dcg_at_p": lambda s, d: _rounded(metrics.dcg(_judged(s, d), 5), "dcg"),
@@ -201,6 +209,12 @@ QUERIES = {
     "metric_ndcg_at_p": lambda s, d: _rounded(metrics.ndcg(_judged(s, d), 5), "ndcg"),
     "metric_ap": lambda s, d: _rounded(metrics.ap(_judged(s, d)), "ap"),
     "eval_report": eval_report,
+    "qrels_join_1000": lambda s, d: _judged_rows(s, d, EVALUATED),
+    "metric_rbp_1000": lambda s, d: _rounded(metrics.rbp(_judged(s, d, EVALUATED)), "rbp"),
+    "metric_dcg_1000": lambda s, d: _rounded(metrics.dcg(_judged(s, d, EVALUATED)), "dcg"),
+    "metric_ndcg_1000": lambda s, d: _rounded(metrics.ndcg(_judged(s, d, EVALUATED)), "ndcg"),
+    "metric_ap_1000": lambda s, d: _rounded(metrics.ap(_judged(s, d, EVALUATED)), "ap"),
+    "eval_report_1000": lambda s, d: eval_report(s, d, EVALUATED),
     "lsi_singular_values": lsi_singular_values,
     "lsi_topk": lsi_topk,
     "hybrid_topk": hybrid_topk,
