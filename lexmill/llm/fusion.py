@@ -17,6 +17,8 @@ ROUNDS = 60
 LOCAL = 100_000
 #: Items of a large group that are summed up together.
 STRIP = 4096
+#: Digits of an item's mass, in units of the group's mean mass, that count for the order.
+DIGITS = 12
 
 
 def walk(ranks: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS) -> np.ndarray:
@@ -60,9 +62,9 @@ def _positions(rows: DataFrame, group: str, item: str, score: str, out: str) ->
 def _walk_local(placed: DataFrame, group: str, kind: str, outs: list[str], damping: float, rounds: int) -> DataFrame:
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         ranks = frame[outs].fillna(-1).to_numpy(np.int64)
-        return pd.DataFrame({"g": frame["g"], "i": frame["i"], "mass": walk(ranks, damping, rounds)})
+        return pd.DataFrame({"g": frame["g"], "i": frame["i"], "mass": walk(ranks, damping, rounds), "n": len(frame)})
 
-    return placed.groupBy("g").applyInPandas(one, f"g {kind}, i bigint, mass double")
+    return placed.groupBy("g").applyInPandas(one, f"g {kind}, i bigint, mass double, n bigint")
 
 
 def _walk_distributed(placed: DataFrame, sizes: DataFrame, outs: list[str], damping: float, rounds: int) -> DataFrame:
@@ -86,7 +88,7 @@ def _walk_distributed(placed: DataFrame, sizes: DataFrame, outs: list[str], damp
         new = new.join(sums, "g").withColumn("mass", F.col("mass") + (1 - F.col("held")) / F.col("n")).drop("held")
         # each round hangs on the one before; a checkpoint keeps the plan short and survives lost executors
         state = checkpointed(new)
-    return state.select("g", "i", "mass")
+    return state.select("g", "i", "mass", "n")
 
 
 def fused_ranking(rows: DataFrame, group: str, item: str, scores: list[str], damping: float = DAMPING, rounds: int = ROUNDS, local: int = LOCAL) -> DataFrame:
@@ -112,7 +114,8 @@ def fused_ranking(rows: DataFrame, group: str, item: str, scores: list[str], dam
     mass = _walk_local(small, "g", kind, outs, damping, rounds)
     if not large.isEmpty():
         mass = mass.unionByName(_walk_distributed(placed.join(large.select("g"), "g", "left_semi"), large, outs, damping, rounds))
-    mass = mass.withColumn("mass", F.round("mass", 12))
+    # masses shrink as 1 / n, so they are rounded in units of the mean
+    mass = mass.select("g", "i", (F.round(F.col("mass") * F.col("n"), DIGITS) / F.col("n")).alias("mass"))
     walked = _positions(mass, "g", "i", "mass", "rank").join(placed, ["g", "i"])
     ones = [(F.col(o) + 1).cast("bigint").alias(o) for o in [*outs, "rank"]]
     return walked.select(F.col("g").alias(group), F.col("i").alias(item), *ones[:-1], "mass", ones[-1])

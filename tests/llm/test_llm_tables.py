@@ -112,3 +112,9 @@ def test_fused_ranking(spark, monkeypatch):
     monkeypatch.setattr(fusion, "STRIP", 4)
     assert rows(local) == rows(fusion.fused_ranking(df, "qid", "doc_id", names, rounds=3, local=10))
     assert fusion.fused_ranking(df.limit(0), "qid", "doc_id", names).count() == 0
+
+
+def test_masses_of_a_large_group_stay_apart(spark):
+    df = spark.range(fusion.LOCAL).select(F.lit("q").alias("qid"), F.col("id").alias("doc_id"), F.xxhash64("id", F.lit(1)).cast("double").alias("a"), F.xxhash64("id", F.lit(2)).cast("double").alias("b"))
+    got = fusion.fused_ranking(df, "qid", "doc_id", ["a", "b"]).agg(F.count("*"), F.countDistinct("mass")).first()
+    assert tuple(got) == (fusion.LOCAL, fusion.LOCAL)
