@@ -115,9 +115,11 @@ def _judged_rows(s, d, k: int = 100):
     return _judged(s, d, k).select("qid", "rank", "doc_id", F.col("rel").cast("bigint").alias("rel"))
 
 
-def eval_report(s, d, k: int = 100):
+def eval_report(s, d, k: int = 100, adaptive: bool = False):
     index, queries = _index(s, d), _queries(s, d)
     methods = evaluate.lexical_methods(index)
+    if adaptive:
+        methods["adaptive"] = evaluate.adaptive_method(index, lsi.fit(index))
     ranked = {name: method(queries, k) for name, method in methods.items()}
     rankings = {name: metrics.judged(run, evaluate.verbatim(run, _docs(s, d), queries)) for name, run in ranked.items()}
     return _rounded(metrics.report(queries, rankings), *[f"mean_{m}" for m in ("rbp", "dcg", "ndcg", "ap")])
@@ -214,7 +216,7 @@ QUERIES = {
     "metric_dcg_1000": lambda s, d: _rounded(metrics.dcg(_judged(s, d, EVALUATED)), "dcg"),
     "metric_ndcg_1000": lambda s, d: _rounded(metrics.ndcg(_judged(s, d, EVALUATED)), "ndcg"),
     "metric_ap_1000": lambda s, d: _rounded(metrics.ap(_judged(s, d, EVALUATED)), "ap"),
-    "eval_report_1000": lambda s, d: eval_report(s, d, EVALUATED),
+    "eval_report_1000": lambda s, d: eval_report(s, d, EVALUATED, adaptive=True),
     "lsi_singular_values": lsi_singular_values,
     "lsi_topk": lsi_topk,
     "hybrid_topk": hybrid_topk,

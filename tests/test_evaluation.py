@@ -23,4 +23,5 @@ def test_evaluation_reaches_the_depth_of_the_reference(spark, folder):
     assert ask("metric_dcg_1000").first()["dcg"] > 0 and ask("metric_ndcg_1000").first()["ndcg"] > 0
     assert ask("metric_rbp_1000").count() == 1
     report = {r["method"]: r for r in ask("eval_report_1000").collect()}
+    assert set(report) == {"tfidf", "bm25", "wand", "adaptive"}
     assert all(report[m]["mean_ap"] == round(precision, 6) for m in ("tfidf", "bm25", "wand"))
