@@ -131,7 +131,7 @@ def snippet_window(s, d):
 
 
 def lsi_singular_values(s, d):
-    sigma = lsi.fit(_index(s, d), rank=50).sigma
+    sigma = lsi.fit(_index(s, d)).sigma
     return s.createDataFrame([(i + 1, round(x, 6)) for i, x in enumerate(sigma)], "rank bigint, sigma double")
 
 

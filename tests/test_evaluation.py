@@ -25,3 +25,9 @@ def test_evaluation_reaches_the_depth_of_the_reference(spark, folder):
     report = {r["method"]: r for r in ask("eval_report_1000").collect()}
     assert set(report) == {"tfidf", "bm25", "wand", "adaptive"}
     assert all(report[m]["mean_ap"] == round(precision, 6) for m in ("tfidf", "bm25", "wand"))
+
+
+def test_singular_values_have_the_full_rank(spark, tmp_path):
+    docs = [(i, f"d{i}", "a", f"z{chr(98 + i // 8)}{chr(98 + i % 8)}k") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id bigint, doc_name string, block string, text string").write.parquet(f"{tmp_path}/collection_docs.parquet")
+    assert entry.queries()["lsi_singular_values"](spark, str(tmp_path)).count() == 59
