@@ -152,6 +152,18 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed_pages(df.limit(0), "doc_id", "text", "lang").count() == 0
 
 
+def test_prose_of_a_language_without_a_head_is_not_stuffed(spark):
+    rng = random.Random(8)
+    draw = lambda letters, n: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(n)]
+    common, other = draw("abcdef", 300), draw("uvwxyz", 300)
+    say = lambda heads, words: " ".join(f"{heads[i % 8]} {rng.choice(words[8:])} {heads[(i + 3) % 8]} {rng.choice(words[8:])}." for i in range(20))
+    stuffed = " ".join(other[i % 3] for i in range(80))
+    links = " | ".join(f"[{w}](https://x.test/{w})" for w in other[:40])
+    pages = [(i, say(common[:8], common), "en") for i in range(100)] + [(200, say(other[:8], other), "SW "), (201, stuffed, "sw"), (202, links, "sw"), (203, say(other[:8], other), "en")]
+    df = spark.createDataFrame(pages, "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in stuffing.stuffed_pages(df, "doc_id", "text", "lang").filter("flagged").collect()} == {201, 202, 203}
+
+
 def test_most_similar_vectors(spark):
     rng = np.random.default_rng(11)
     centres = rng.standard_normal((40, 100))
