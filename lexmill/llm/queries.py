@@ -61,7 +61,7 @@ def _leaked(s, d):
 
 
 def _stuffed(s, d):
-    return stuffing.stuffed_pages(table(s, d, "documents"), "doc_id", "text", "lang")
+    return stuffing.stuffed_pages(table(s, d, "documents"), "doc_id", "text", "lang", table(s, d, "page_labels"))
 
 
 QUERIES = {
@@ -81,5 +81,5 @@ QUERIES = {
     "p9_found": lambda s, d: _leaked(s, d).select("doc_id", "item_id"),
     "p9_matches": _leaked,
     "p10_found": lambda s, d: _stuffed(s, d).filter("flagged").select("doc_id"),
-    "p10_pages": lambda s, d: _stuffed(s, d).select("doc_id", "lang", "n_parts", *[F.round(c, 6).alias(c) for c in ("listed", "slope_z", "residual_z")], "flagged"),
+    "p10_pages": lambda s, d: _stuffed(s, d).select("doc_id", "lang", "n_parts", *[F.round(c, 6).alias(c) for c in ("listed", "slope_z", "residual_z", "divergence_z")], "flagged"),
 }

@@ -152,6 +152,16 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed_pages(df.limit(0), "doc_id", "text", "lang").count() == 0
 
 
+FINNISH = (
+    "Keväällä metsän reunassa kasvoi sinivuokkoja, ja lapset keräsivät niitä äidilleen. Illalla satoi vettä, joten kaikki palasivat kotiin ennen pimeää. "
+    "Isoäiti keitti kahvia ja kertoi, miten kylässä ennen elettiin. Kukaan ei huomannut, kun kissa hiipi ulos ovesta.",
+    "Laiva lähti satamasta aamulla, vaikka tuuli oli kova. Matkustajat seisoivat kannella ja katselivat, kuinka ranta jäi taakse. "
+    "Kapteeni sanoi, että perille päästään vasta huomenna. Yöllä meri tyyntyi, ja moni nukkui hyvin.",
+    "Kirjastossa on hiljaista, koska useimmat lukijat ovat lomalla. Uudet kirjat saapuivat viime viikolla, mutta niitä ei ole vielä luetteloitu. "
+    "Johtaja toivoo, että syksyllä väkeä tulee enemmän kuin viime vuonna.",
+)
+
+
 def test_prose_of_a_language_without_a_head_is_not_stuffed(spark):
     rng = random.Random(8)
     draw = lambda letters, n: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(n)]
@@ -160,10 +170,58 @@ def test_prose_of_a_language_without_a_head_is_not_stuffed(spark):
     stuffed = " ".join(other[i % 3] for i in range(80))
     links = " | ".join(f"[{w}](https://x.test/{w})" for w in other[:40])
     pages = [(i, say(common[:8], common), "en") for i in range(100)] + [(200, say(other[:8], other), "SW "), (201, stuffed, "sw"), (202, links, "sw"), (203, say(other[:8], other), "en")]
+    pages += [(210 + i, t, "fi") for i, t in enumerate(FINNISH)]
     df = spark.createDataFrame(pages, "doc_id bigint, text string, lang string")
     assert {r.doc_id for r in stuffing.stuffed_pages(df, "doc_id", "text", "lang").filter("flagged").collect()} == {201, 202, 203}
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="no test tables")
+def test_finnish_prose_among_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.01/page_labels.parquet")
+    more = spark.createDataFrame([(-1 - i, t, "fi") for i, t in enumerate(FINNISH)], docs.schema)
+    got = {r.doc_id: r for r in stuffing.stuffed_pages(docs.union(more), "doc_id", "text", "lang", labels).collect()}
+    assert not any(got[-1 - i].flagged for i in range(3)) and got[-1].lang == "fi" and sum(r.flagged for r in got.values()) > 30
+
+
+def test_neighbourhoods_are_told_in_spite_of_wrong_labels():
+    rng = np.random.default_rng(1)
+    d = len(stuffing.MEASURES)
+    side = np.array(list(stuffing.MEASURES.values()))
+    pages, spam, told = [], [], []
+    for i in range(300):
+        part = [0.0, 0.2, 0.8, 1.0][i % 4]
+        lists = np.arange(30) < part * 30
+        pages.append(rng.normal(0, 0.1, (30, d)) + lists[:, None] * side * 0.35)
+        spam.append(part > 0.5)
+        told.append((part > 0.5) ^ (i % 25 == 0))
+    x = np.concatenate(pages)
+    net = stuffing.fit_neighbourhoods(x, np.repeat(np.arange(300), 30), np.array(told), x)
+    shares = net(x).reshape(300, 30).mean(1)
+    assert ((shares > 0.5) == np.array(spam)).mean() > 0.99
+    none = stuffing.fit_neighbourhoods(x[:0], np.zeros(0, int), np.zeros(0, bool), x)
+    assert none(x).reshape(300, 30).mean(1)[3::4].min() > none(x).reshape(300, 30).mean(1)[0::4].max()
+
+
+def test_curve_and_divergence_move_the_decision():
+    rng = np.random.default_rng(2)
+    listed = rng.uniform(-0.3, 0.3, 400)
+    curve = rng.normal(0, 1, 400)
+    spam = listed + 0.1 * curve > 0
+    w = stuffing.fit_pages(np.column_stack([listed, curve, np.zeros(400), np.zeros(400)]), spam)
+    odds = lambda w: listed * w[0] + curve * w[1] + w[4]
+    assert ((odds(w) > 0) == spam).mean() > 0.95 > ((listed > 0) == spam).mean()
+    assert (stuffing.fit_pages(np.zeros((0, 4)), np.zeros(0, bool)) == [stuffing.SHARP, 0, 0, 0, 0]).all()
+
+
+def test_curves_of_pages(spark):
+    df = spark.createDataFrame([(1, [4, 2, 1], [1, 2, 5]), (2, [1], [7])], "doc bigint, freqs array<int>, words array<int>")
+    got = {r.doc: r for r in stuffing.page_curves(df).collect()}
+    slope, level = np.polyfit(np.log([1, 3, 8]), np.log([4, 2, 1]), 1)
+    rest = np.log([4, 2, 1]) - slope * np.log([1, 3, 8]) - level
+    assert np.isclose(got[1].slope, slope) and np.isclose(got[1].residual, np.sqrt((rest**2).mean())) and got[2].slope is None
+
+
 def test_most_similar_vectors(spark):
     rng = np.random.default_rng(11)
     centres = rng.standard_normal((40, 100))
