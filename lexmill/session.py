@@ -57,31 +57,62 @@ def task_count(df: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def scan_tasks(df: DataFrame) -> int:
+    """Tasks that reading the sources of ``df`` takes, from their files and sizes: nothing of the plan is run."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
+    per_task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(len(df.inputFiles()), -(-size // per_task))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over enough tasks for CPU-bound work: as it is if its scan has a partition per core, else
+    """``df`` over enough tasks for CPU-bound work: as it is if its sources are read by a task per core, else
     repartitioned by ``keys`` (a hash, so that a lost task can be done again with the same rows)."""
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+    if scan_tasks(df) >= df.sparkSession.sparkContext.defaultParallelism:
         return df
     return df.repartition(task_count(df), *keys)
 
 
+#: Tables written so far and not yet removed.
+_TABLES: set[str] = set()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read back.
 
-    Unlike a checkpoint it keeps columns apart, so that later passes read only what they need. The table is
-    removed when the interpreter ends.
+    Unlike a checkpoint it keeps columns apart, so that later passes read only what they need. The table stays
+    until ``discard``, ``release`` or the end of the interpreter.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(release, spark)
+    _TABLES.add(path)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` has written and nothing will read again, such as those of a loop's last round."""
+    for table in tables:
+        path = getattr(table, "stored_at", None)
+        if path in _TABLES:
+            _remove(table.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all intermediate tables. For long-lived drivers, between queries whose results have been taken."""
+    for path in sorted(_TABLES):
+        _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    _TABLES.discard(path)
     try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the JVM may be gone already; the cluster's own clean-up takes over
         pass
