@@ -88,13 +88,27 @@ def dense_walk(ranks, damping):
     return v
 
 
+def some_ranks(rng, n):
+    """Two rankings of n items, of which the second one lacks some."""
+    ranks = np.stack([rng.permutation(n), rng.permutation(n)], 1)
+    drop = rng.random(n) < 0.3
+    ranks[:, 1] = np.where(drop, -1, np.searchsorted(np.sort(ranks[~drop, 1]), ranks[:, 1]))
+    return ranks
+
+
 def test_walk_is_the_stationary_distribution():
-    rng = np.random.default_rng(5)
-    ranks = np.stack([rng.permutation(12), rng.permutation(12)], 1)
-    drop = rng.random(12) < 0.3
-    kept = np.sort(ranks[~drop, 1])
-    ranks[:, 1] = np.where(drop, -1, np.searchsorted(kept, ranks[:, 1]))
-    assert np.allclose(fusion.walk(ranks), dense_walk(ranks, fusion.DAMPING), atol=1e-6)
+    ranks = some_ranks(np.random.default_rng(5), 12)
+    assert np.allclose(fusion.walk(ranks), dense_walk(ranks, fusion.DAMPING), rtol=1e-11, atol=0)
+
+
+def test_groups_walk_alike_together(monkeypatch):
+    rng = np.random.default_rng(6)
+    groups = [some_ranks(rng, n) for n in (1, 2, 3, 7, 8, 9, 40, 5, 8)]
+    alone = np.concatenate([fusion.walk(g) for g in groups])
+    sizes = np.array([len(g) for g in groups])
+    together = fusion.walks(np.concatenate(groups), sizes)
+    monkeypatch.setattr(fusion, "CELLS", 16)
+    assert np.allclose(together, alone, rtol=1e-12, atol=0) and np.allclose(fusion.walks(np.concatenate(groups), sizes), alone, rtol=1e-12, atol=0)
 
 
 SCORES = [("q", i, float(i * 1000 % 37) if i % 4 else None, float(-i % 11) if i % 3 else None) for i in range(25)] + [("q", 1, 2000.0, None), (None, 1, 1.0, 1.0), ("z", None, 1.0, 1.0), ("w", 5, float("nan"), None)]
@@ -103,18 +117,32 @@ SCORES = [("q", i, float(i * 1000 % 37) if i % 4 else None, float(-i % 11) if i
 def test_fused_ranking(spark, monkeypatch):
     df = spark.createDataFrame(SCORES, "qid string, doc_id bigint, lex_score double, sem_score double").withColumn("mass", F.lit(1))
     names = ["lex_score", "sem_score"]
-    local = fusion.fused_ranking(df, "qid", "doc_id", names, rounds=3)
+    local = fusion.fused_ranking(df, "qid", "doc_id", names)
     top = local.filter("qid = 'q'").orderBy("rank").collect()
     assert [r["rank"] for r in top] == list(range(1, 26)) and top[0].rank_lex_score is not None
     assert local.filter("qid = 'w'").first()["rank"] == 1
     scaled = df.withColumn("lex_score", F.exp(F.col("lex_score") / 300))
-    assert [(r.qid, r.doc_id) for r in local.orderBy("qid", "rank").collect()] == [(r.qid, r.doc_id) for r in fusion.fused_ranking(scaled, "qid", "doc_id", names, rounds=3).orderBy("qid", "rank").collect()]
+    assert [(r.qid, r.doc_id) for r in local.orderBy("qid", "rank").collect()] == [(r.qid, r.doc_id) for r in fusion.fused_ranking(scaled, "qid", "doc_id", names).orderBy("qid", "rank").collect()]
     monkeypatch.setattr(fusion, "STRIP", 4)
-    assert rows(local) == rows(fusion.fused_ranking(df, "qid", "doc_id", names, rounds=3, local=10))
+    few = [rows(fusion.fused_ranking(df, "qid", "doc_id", names, damping=0.4, local=n)) for n in (10, 1000)]
+    mass = slice(4, 5)
+    assert [r[:4] + r[5:] for r in few[0]] == [r[:4] + r[5:] for r in few[1]]
+    assert np.allclose([r[mass] for r in few[0]], [r[mass] for r in few[1]], rtol=1e-11, atol=0)
     assert fusion.fused_ranking(df.limit(0), "qid", "doc_id", names).count() == 0
 
 
-def test_masses_of_a_large_group_stay_apart(spark):
-    df = spark.range(fusion.LOCAL).select(F.lit("q").alias("qid"), F.col("id").alias("doc_id"), F.xxhash64("id", F.lit(1)).cast("double").alias("a"), F.xxhash64("id", F.lit(2)).cast("double").alias("b"))
-    got = fusion.fused_ranking(df, "qid", "doc_id", ["a", "b"]).agg(F.count("*"), F.countDistinct("mass")).first()
-    assert tuple(got) == (fusion.LOCAL, fusion.LOCAL)
+def test_masses_of_a_group_of_a_million_stay_apart(spark):
+    n = fusion.LOCAL
+    df = spark.range(n).select(F.lit("q").alias("qid"), F.col("id").alias("doc_id"), F.xxhash64("id", F.lit(1)).cast("double").alias("a"), F.xxhash64("id", F.lit(2)).cast("double").alias("b"))
+    got = fusion.fused_ranking(df, "qid", "doc_id", ["a", "b"]).agg(F.count("*"), F.countDistinct("mass"), F.countDistinct("rank")).first()
+    assert got[0] == got[2] == n and got[1] >= n - 5
+
+
+def test_groups_of_many_batches(spark, monkeypatch):
+    """Groups lie across the borders of batches."""
+    df = spark.range(9000).select((F.sqrt("id")).cast("int").alias("qid"), F.col("id").alias("doc_id"), F.xxhash64("id").cast("double").alias("a"))
+    want = [tuple(r) for r in df.orderBy("qid", F.desc("a")).select("qid", "doc_id").collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    got = [tuple(r) for r in fusion.fused_ranking(df, "qid", "doc_id", ["a"]).orderBy("qid", "rank").select("qid", "doc_id").collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
