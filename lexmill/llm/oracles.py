@@ -35,6 +35,20 @@ EDITED = f"""with texts as (select distinct doc_id as id, text from collection_d
 
 LEAKED = f"""with texts as (select 2 * doc_id as id, text from documents union all select 2 * item_id + 1, text from eval_items), {RUNS.format(n=12)}"""
 
+#: The walk of the fused ranking, so many rounds that nothing moves any more.
+WALK = """with recursive once as (select qid, doc_id, max(case when not isnan(lex_score) then lex_score end) as lex,
+        max(case when not isnan(sem_score) then sem_score end) as sem from adaptive_scores where qid is not null and doc_id is not null group by 1, 2),
+    ranked as (select qid, doc_id, count(*) over (partition by qid) as n,
+        case when lex is not null then row_number() over (partition by qid order by lex desc nulls last, doc_id) end as rl,
+        case when sem is not null then row_number() over (partition by qid order by sem desc nulls last, doc_id) end as rs from once),
+    walk as (select 0 as t, *, 1.0::double / n as mass, (rl is not null)::int + (rs is not null)::int as lists from ranked
+        union all
+        select t + 1, qid, doc_id, n, rl, rs, held + (1 - sum(held) over (partition by qid)) / n, lists from (
+            select *, 0.85::double * (coalesce(case when rl is not null then sum(mass / lists / rl) over (partition by qid order by rl desc nulls last rows unbounded preceding) end, 0)
+                + coalesce(case when rs is not null then sum(mass / lists / rs) over (partition by qid order by rs desc nulls last rows unbounded preceding) end, 0)) as held
+            from walk where t < 150)),
+    rounded as (select *, round_even(mass * n * 1e12, 0) / 1e12 / n as m from walk where t = 150)"""
+
 SQL = {
     "p2_found": f"{FREQUENCIES} select term, mark from marked where mark is not null",
     "p2_frequencies": f"{FREQUENCIES} select * from marked",
@@ -43,6 +57,8 @@ SQL = {
     "p6_found": f"{DISTINCTIVE} select doc_id, term from rows where df between 2 and 8 and tf * 5 >= doc_total",
     "p6_scores": f"""{DISTINCTIVE} select *, round(tf / doc_len * (ln((1 + (select count(*) from totals)) / (1 + df)) + 1), 6) as score from rows""",
     "p7_found": f"{FUSED} select qid, doc_id from lex join sem using (qid, doc_id)",
+    "p7_ranking": f"""{WALK} select qid, doc_id, rl as rank_lex_score, rs as rank_sem_score, round(m, 9) as mass,
+        row_number() over (partition by qid order by m desc, doc_id) as rank from rounded""",
     "p1_found": f"{SIMILAR} select x.a as id_a, x.b as id_b from top x join top y on x.a = y.b and x.b = y.a where x.a < x.b",
     "p5_found": f"""{EDITED} select a as doc_id_a, b as doc_id_b from shared join sizes x on x.id = a join sizes y on y.id = b
         where s >= 0.6 * (x.n + y.n - s)""",

@@ -76,7 +76,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_scores": lambda s, d: _distinctive(s, d).withColumn("score", F.round("score", 6)),
     "p7_found": lambda s, d: _fused(s, d).filter("rank_lex_score <= 10 and rank_sem_score <= 10").select("qid", "doc_id"),
-    "p7_ranking": _fused,
+    "p7_ranking": lambda s, d: _fused(s, d).withColumn("mass", F.round("mass", 9)),
     "p8_ids": lambda s, d: bpe.encoded(table(s, d, "documents"), "doc_id", "text"),
     "p9_found": lambda s, d: _leaked(s, d).select("doc_id", "item_id"),
     "p9_matches": _leaked,
