@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +22,19 @@ def valid_postings(postings: DataFrame) -> DataFrame:
 def words(text: Column) -> Column:
     """Maximal runs of [a-z0-9] in the lower-cased text; empty for empty texts, null for null."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+#: Characters of texts that are worked on together.
+CHARACTERS = 1 << 21
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Cuts a batch into runs of a bounded number of characters; a longer text is a run of its own."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > CHARACTERS:
+            yield begin, i
+            begin, held = i, 0
+        held += len(text)
+    if begin < len(texts):
+        yield begin, len(texts)

@@ -62,5 +62,10 @@ SQL = {
     "p1_found": f"{SIMILAR} select x.a as id_a, x.b as id_b from top x join top y on x.a = y.b and x.b = y.a where x.a < x.b",
     "p5_found": f"""{EDITED} select a as doc_id_a, b as doc_id_b from shared join sizes x on x.id = a join sizes y on y.id = b
         where s >= 0.6 * (x.n + y.n - s)""",
+    "p5_groups": f"""{EDITED.replace("with texts", "with recursive texts")}, pairs as (select a, b from shared join sizes x on x.id = a join sizes y on y.id = b
+            where s >= 0.6 * (x.n + y.n - s)),
+        reach as (select id, id as other from sizes union
+            select r.id, e.b from reach r join (select a, b from pairs union all select b, a from pairs) e on e.a = r.other)
+        select id as doc_id, min(other) as group_id from reach group by id""",
     "p9_found": f"""{LEAKED} select distinct d.id // 2 as doc_id, i.id // 2 as item_id from runs d join runs i on d.run = i.run and d.id % 2 = 0 and i.id % 2 = 1""",
 }

@@ -37,7 +37,7 @@ def p5_found(s, d):
 
 def p5_groups(s, d):
     groups = neardup.near_duplicate_groups(table(s, d, "collection_docs"), "doc_id", "text", width=3, threshold=0.6)
-    return groups.select(F.col("record").alias("doc_id"), F.col("group").alias("group_id"), "links")
+    return groups.select(F.col("record").alias("doc_id"), F.col("group").alias("group_id"))
 
 
 def p1_found(s, d):

@@ -57,6 +57,25 @@ def test_pairs_and_groups_equal_brute_force(spark, texts, width, threshold):
     assert got == {i: find(i) for i in sets}
 
 
+def test_many_nearly_equal_texts_form_one_group(spark):
+    """20,000 different texts that nearly all resemble each other: their pairs are never listed."""
+    words = [F.concat(F.lit(f"w{j}x"), F.when(F.pmod(F.xxhash64("id", F.lit(j)), F.lit(70)) == 0, F.col("id")).otherwise(0)) for j in range(60)]
+    alike = spark.range(20000).select("id", F.concat_ws(" ", *words, F.lit("end"), F.col("id")).alias("text"))
+    other = spark.range(30000, 30050).select("id", F.concat_ws(" ", *[F.xxhash64("id", F.lit(j)) for j in range(60)]).alias("text"))
+    groups = neardup.near_duplicate_groups(alike.union(other), "id", "text", width=3, threshold=0.6)
+    sizes = {r.group: r["count"] for r in groups.groupBy("group").count().collect()}
+    assert sizes[0] > 19900 and sum(sizes.values()) == 20050 and all(sizes[i] == 1 for i in range(30000, 30050))
+
+
+def test_shingles_of_many_texts():
+    shingler = neardup.Shingler(3)
+    texts = ["a b c d", "", "a b", "x a b c; A".lower(), "a b c a b c a b c"]
+    offsets, h = shingler.sets(texts)
+    sets = [set(h[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])]
+    assert [len(x) for x in sets] == [2, 0, 0, 3, 3] and len(sets[0] & sets[3]) == 1 and len(sets[3] & sets[4]) == 2
+    assert all((np.diff(h[a:b].astype(object)) > 0).all() for a, b in zip(offsets[:-1], offsets[1:]))
+
+
 def test_no_texts(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert neardup.near_duplicate_pairs(empty, "doc_id", "text").count() == 0
