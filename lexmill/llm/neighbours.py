@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.session import stored, task_count
@@ -290,22 +291,19 @@ def most_similar(rows: DataFrame, record: str, vec: str, k: int = 10, dim: int =
     classes = stored(classes, "classes")
     named = classes.select("id", F.sha2("unit", 256).alias("key"))
     members = class_of.join(named, "key").select("record", "id")
-    from lexmill.llm.topn import heap
 
-    # the k + 1 least records of each class, by a bounded heap
-    first = members.groupBy("id").agg(heap(F.bitwise_not(F.col("record")), k + 1).alias("r")).select("id", F.explode("r").alias("r"))
-    first = first.select("id", F.bitwise_not(F.col("r")).alias("neighbour"))
+    # ranks up to a bound are cut within each task before the shuffle, so that no class or list is gathered
+    best = lambda rows, key, n, *order: rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= n)
+    # the k + 1 least records of each class
+    first = best(members, "id", k + 1, F.asc("record")).select("id", F.col("record").alias("neighbour"))
     wanted = members if queries is None else members.join(queries.select(F.col(record).cast("bigint").alias("record")), "record", "left_semi")
     asked = None if queries is None else wanted.select("id").distinct()
     near = nearest_classes(classes, dim, k, least, asked).unionByName(classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")))
     # k nearest classes hold the k nearest records
-    entry = F.struct("cosine", F.bitwise_not(F.col("b")).alias("rev"))
-    cut = near.groupBy("a").agg(heap(entry, k + 1).alias("e")).select("a", F.explode("e").alias("e"))
-    cut = cut.select("a", F.bitwise_not(F.col("e.rev")).alias("b"), F.col("e.cosine").alias("cosine"))
+    cut = best(near, "a", k + 1, F.desc("cosine"), F.asc("b")).drop("_n")
     pairs = wanted.withColumnRenamed("id", "a").join(cut, "a").join(first.withColumnRenamed("id", "b"), "b").filter("record <> neighbour")
-    best = pairs.groupBy("record").agg(heap(F.struct("cosine", F.bitwise_not(F.col("neighbour")).alias("rev")), k).alias("e"))
-    out = best.select("record", F.posexplode("e").alias("pos", "e")).filter(F.col("e.cosine") >= least)
-    return out.select(F.col("record").alias(record), F.bitwise_not(F.col("e.rev")).alias("neighbour"), F.col("e.cosine").alias("cosine"), (F.col("pos") + 1).cast("bigint").alias("rank"))
+    out = best(pairs, "record", k, F.desc("cosine"), F.asc("neighbour")).filter(F.col("cosine") >= least)
+    return out.select(F.col("record").alias(record), "neighbour", "cosine", F.col("_n").cast("bigint").alias("rank"))
 
 
 def mutual_pairs(nearest: DataFrame, record: str) -> DataFrame:

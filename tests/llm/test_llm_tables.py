@@ -1,6 +1,7 @@
 """Counting, top N, distinctiveness, fusion: against plain Python over small tables with all kinds of dirt."""
 
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -55,6 +56,28 @@ def test_top_n_of_a_hot_group(spark):
     assert [(r.doc_id, r.score) for r in hot] == [(19, 9.0), (29, 9.0), (49, 9.0), (59, 9.0)]
 
 
+def test_heaps_merge_in_any_order(spark, monkeypatch):
+    """Small heaps that are handed on early, items that come again with a better score, one shuffle only."""
+    monkeypatch.setattr(topn, "GATHERED", 7)
+    monkeypatch.setattr(topn, "HELD", 20)
+    rng = random.Random(3)
+    data = [(rng.choice("aaaab") if i % 3 else f"g{i % 50}", rng.randrange(60), float(rng.randrange(25))) for i in range(4000)]
+    best = defaultdict(dict)
+    for g, i, x in data:
+        best[g][i] = max(best[g].get(i, -1.0), x)
+    want = {g: sorted(v.items(), key=lambda e: (-e[1], e[0]))[:5] for g, v in best.items()}
+    df = spark.createDataFrame(data, "g string, item bigint, x double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    got = defaultdict(list)
+    top = topn.top_n(df, "g", "item", "x", 5)
+    for r in top.orderBy("g", "rank").collect():
+        got[r.g].append((r["item"], r.x))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    plan = topn.top_n(spark.range(5).select("id", F.col("id").alias("i"), F.col("id").alias("x")), "id", "i", "x")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_distinctiveness(spark, postings):
     lengths = spark.createDataFrame([(1, 10), (1, 4), (2, 1), (2, None), (9, 3), (None, 3)], "doc_id bigint, doc_len bigint")
     got = {(r.doc_id, r.term): r for r in distinctive.distinctiveness(common.valid_postings(postings), lengths).collect()}
