@@ -8,6 +8,7 @@ side of a join is replicated to the shards of the large keys only.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from lexmill.session import task_count
 
-#: Keys that the sketch tracks per partition; a key's count is off by at most rows / (0.75 * TRACKED).
-TRACKED = 4096
+#: Keys that the sketch tracks, at least and at most (more the engine's sketch can't). A key's count is off by at
+#: most rows / (0.75 * tracked).
+LEAST_TRACKED, MOST_TRACKED = 4096, 1 << 19
 #: Bins of light keys for each task.
 BINS = 16
 #: A key whose load exceeds this share of a task's fair share is cut.
@@ -49,6 +51,13 @@ def pack(loads: list[float], n_tasks: int, start: list[float] | None = None) ->
     return where, sums
 
 
+def tracked_for(n_tasks: int) -> int:
+    """Keys to track so that a count is off by at most half of the load from which a key is cut, up to 98,000 tasks;
+    a power of two. Beyond, a key may be cut up to 1.5 times that load too late."""
+    needed = 2 * n_tasks / (0.75 * CUT)
+    return min(MOST_TRACKED, max(LEAST_TRACKED, 1 << math.ceil(math.log2(needed))))
+
+
 def _bin(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
@@ -57,7 +66,7 @@ def plan_layout(rows: DataFrame, key: str, n_tasks: int | None = None) -> Layout
     """The layout for rows by their key (a string column without nulls), from estimates over all rows.
 
     Two small aggregations over the key column alone: a sketch of frequent keys, and row counts per bin of
-    hashed keys. What reaches the driver is bounded by TRACKED entries and BINS counts per task.
+    hashed keys. What reaches the driver is bounded by the sketch's entries and BINS counts per task.
     """
     n_tasks = n_tasks or task_count(rows)
     n_bins = n_tasks * BINS
@@ -69,8 +78,9 @@ def plan_layout(rows: DataFrame, key: str, n_tasks: int | None = None) -> Layout
     total = sum(per_bin)
     limit = max(CUT * total / n_tasks, 1.0)
     # no more than n_tasks / CUT keys can exceed the limit
-    most = min(TRACKED // 2, int(n_tasks / CUT) + 1)
-    found = keys.select(F.expr(f"approx_top_k(k, {most}, {TRACKED})").alias("top")) if total else None
+    tracked = tracked_for(n_tasks)
+    most = min(tracked // 2, int(n_tasks / CUT) + 1)
+    found = keys.select(F.expr(f"approx_top_k(k, {most}, {tracked})").alias("top")) if total else None
     frequent = [(r["item"], float(r["count"])) for r in found.first()["top"]] if found is not None else []
     large = {k: n for k, n in frequent if k is not None and n > limit}
     if large:

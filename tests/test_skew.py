@@ -39,3 +39,16 @@ def test_empty_and_repeated_rows(spark, skewed):
     assert skew.balanced_aggregate(empty, "k", {"n": F.count("*")}, {"n": F.sum("n")}, ["id"]).count() == 0
     same = spark.createDataFrame([("a", 1)] * 50, "k string, id bigint")
     assert rows(skew.balanced_aggregate(same, "k", {"n": F.count("*")}, {"n": F.sum("n")}, ["id"])) == [("a", 50)]
+
+
+def test_layout_for_ten_thousand_tasks(spark):
+    """The sketch grows with the tasks, so that keys just above the limit are found among many more keys."""
+    from lexmill.operators.skew import tracked_for
+
+    n_tasks = 10_000
+    # 4,000 keys of 300 rows, above the limit of 75 rows that 10,000 tasks leave, and 300,000 keys of one row
+    rows = spark.range(1_500_000).select(F.when(F.col("id") < 1_200_000, F.concat(F.lit("h"), F.col("id") % 4000)).otherwise(F.concat(F.lit("l"), F.col("id"))).alias("k"))
+    layout = skew.plan_layout(rows, "k", n_tasks)
+    assert tracked_for(n_tasks) == 1 << 16 and len([k for k in layout.heavy if k.startswith("h")]) == 4000
+    assert not [k for k in layout.heavy if k.startswith("l")] and max(layout.loads) <= 4 * sum(layout.loads) / n_tasks
+    assert len(layout.bins) == n_tasks * skew.BINS and tracked_for(8) == skew.LEAST_TRACKED
