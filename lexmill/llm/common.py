@@ -24,6 +24,22 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+#: Bytes that a table may take up in memory to be sent to every task.
+SENT_BYTES = 24 << 20
+
+
+def table_bytes(table: DataFrame) -> int:
+    """Bytes of a stored table's rows in memory, at most: counted, as files may be compressed by any factor."""
+    text = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in table.dtypes if kind in ("string", "binary")]
+    rows, *lengths = table.agg(F.count("*"), *text).first()
+    return rows * (32 + 16 * len(table.columns)) + sum(lengths)
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table with the hint to send it to every task, if its size allows it; else as it is, to be shuffled."""
+    return F.broadcast(table) if table_bytes(table) <= SENT_BYTES else table
+
+
 #: Characters of texts that are worked on together.
 CHARACTERS = 1 << 21
 

@@ -35,6 +35,24 @@ EDITED = f"""with texts as (select distinct doc_id as id, text from collection_d
 
 LEAKED = f"""with texts as (select 2 * doc_id as id, text from documents union all select 2 * item_id + 1, text from eval_items), {RUNS.format(n=12)}"""
 
+PASSAGES = """with items as (select item_id as item, unnest(w) as term, generate_subscripts(w, 1) - 1 as ipos from (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from eval_items where text is not null)),
+    docs as (select doc_id as doc, unnest(w) as term, generate_subscripts(w, 1) - 1 as pos from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents where text is not null)),
+    counts as (select term, count(*) as cf from docs group by term),
+    windows as (select item, min({'cf': coalesce(cf, 0), 'term': i.term, 'ipos': ipos}) over w as best, count(*) over w as n from items i left join counts c on c.term = i.term
+        window w as (partition by item order by ipos rows between current row and 11 following)),
+    places as (select distinct item, best.term as term, best.ipos as ipos from windows where n = 12 and best.cf > 0),
+    item_sides as (select item, ipos, string_agg(term, ' ') over l as l, count(*) over l as nl, string_agg(term, ' ') over r as r, count(*) over r as nr from items
+        window l as (partition by item order by ipos rows between 5 preceding and 1 preceding), r as (partition by item order by ipos rows between 1 following and 6 following)),
+    doc_sides as (select doc, term, pos, string_agg(term, ' ') over l as l, count(*) over l as nl, string_agg(term, ' ') over r as r, count(*) over r as nr from docs
+        window l as (partition by doc order by pos rows between 5 preceding and 1 preceding), r as (partition by doc order by pos rows between 1 following and 6 following)),
+    shifts as (select distinct d.doc, p.item, d.pos - p.ipos as shift from places p join item_sides i on i.item = p.item and i.ipos = p.ipos join doc_sides d on d.term = p.term
+        and ((i.nl = 5 and d.nl = 5 and i.l = d.l) or (i.nr = 6 and d.nr = 6 and i.r = d.r))),
+    met as (select s.doc, s.item, s.shift, i.ipos, bool_or(d.pos = s.shift + i.ipos) as exact from shifts s join items i on i.item = s.item
+        join docs d on d.doc = s.doc and d.term = i.term and d.pos between s.shift + i.ipos - 2 and s.shift + i.ipos + 2 group by all),
+    islands as (select doc, item, shift, ipos - row_number() over (partition by doc, item, shift order by ipos) as island from met where exact),
+    runs as (select doc, item, max(n) as run_words from (select doc, item, count(*) as n from islands group by doc, item, shift, island) group by doc, item),
+    dense as (select doc, item, max(n) as near_words from (select doc, item, count(*) over (partition by doc, item, shift order by ipos range between current row and 11 following) as n from met) group by doc, item)"""
+
 #: The walk of the fused ranking, so many rounds that nothing moves any more.
 WALK = """with recursive once as (select qid, doc_id, max(case when not isnan(lex_score) then lex_score end) as lex,
         max(case when not isnan(sem_score) then sem_score end) as sem from adaptive_scores where qid is not null and doc_id is not null group by 1, 2),
@@ -67,5 +85,7 @@ SQL = {
         reach as (select id, id as other from sizes union
             select r.id, e.b from reach r join (select a, b from pairs union all select b, a from pairs) e on e.a = r.other)
         select id as doc_id, min(other) as group_id from reach group by id""",
+    "p9_matches": f"""{PASSAGES} select doc as doc_id, item as item_id, run_words, near_words, case when run_words >= 12 then 'exact' else 'near' end as match
+        from runs join dense using (doc, item) where run_words >= 12 or near_words >= 10""",
     "p9_found": f"""{LEAKED} select distinct d.id // 2 as doc_id, i.id // 2 as item_id from runs d join runs i on d.run = i.run and d.id % 2 = 0 and i.id % 2 = 1""",
 }

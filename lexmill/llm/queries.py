@@ -78,7 +78,7 @@ QUERIES = {
     "p7_found": lambda s, d: _fused(s, d).filter("rank_lex_score <= 10 and rank_sem_score <= 10").select("qid", "doc_id"),
     "p7_ranking": lambda s, d: _fused(s, d).withColumn("mass", F.round("mass", 9)),
     "p8_ids": lambda s, d: bpe.encoded(table(s, d, "documents"), "doc_id", "text"),
-    "p9_found": lambda s, d: _leaked(s, d).select("doc_id", "item_id"),
+    "p9_found": lambda s, d: _leaked(s, d).filter("match = 'exact'").select("doc_id", "item_id"),
     "p9_matches": _leaked,
     "p10_found": lambda s, d: _stuffed(s, d).filter("flagged").select("doc_id"),
     "p10_pages": lambda s, d: _stuffed(s, d).select("doc_id", "lang", "n_parts", *[F.round(c, 6).alias(c) for c in ("listed", "slope_z", "residual_z", "divergence_z")], "flagged"),

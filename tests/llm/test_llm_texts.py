@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, leakage, neardup, neighbours, stuffing
+from lexmill.llm import bpe, common, leakage, neardup, neighbours, stuffing
 from tests.conftest import rows
 
 WORD = re.compile("[a-z0-9]+")
@@ -131,7 +131,7 @@ def test_both_merges_agree():
         assert bpe.merge_short(word, ranks) == bpe.merge_long(word, ranks)
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, tmp_path, monkeypatch):
     rng = random.Random(8)
     vocab = [f"v{i}" for i in range(40)] + ["the"] * 20
     say = lambda n: [rng.choice(vocab) for _ in range(n)]
@@ -147,11 +147,35 @@ def test_leaks_equal_brute_force(spark):
     want = sorted((d, i) for d, w in docs for i, q in items if grams(w) & grams(q))
     df = spark.createDataFrame([(d, "; ".join(w).upper()) for d, w in docs] + [(104, None)], "doc_id bigint, text string").withColumn("term", F.lit("v1"))
     ev = spark.createDataFrame([(i, " ".join(q)) for i, q in items] + [(60, None)], "item_id bigint, text string")
-    got = leakage.leaked_passages(df, "doc_id", "text", ev, "item_id", "text")
-    assert len(want) > 10 and rows(got.select("doc_id", "item_id")) == sorted(want, key=repr)
-    assert all(r.run_words >= 12 and r.near_words >= r.run_words for r in got.collect())
+    got = leakage.leaked_passages(df, "doc_id", "text", ev, "item_id", "text").persist()
+    exact = got.filter("match = 'exact'")
+    assert len(want) > 10 and rows(exact.select("doc_id", "item_id")) == sorted(want, key=repr)
+    assert all(r.run_words >= 12 and r.near_words == 12 for r in exact.collect())
+    assert all(r.run_words < 12 and r.near_words >= 10 for r in got.filter("match = 'near'").collect())
     assert leakage.leaked_passages(df, "doc_id", "text", ev.limit(0), "item_id", "text").count() == 0
     assert leakage.leaked_passages(df.limit(0), "doc_id", "text", ev, "item_id", "text").count() == 0
+    # a saved index answers the same; so does the way for vocabularies too large to be sent
+    path = f"{tmp_path}/index"
+    saved = leakage.save_index(df, "doc_id", "text", path, files=2)
+    assert rows(leakage.leaked_passages(None, "doc_id", "text", ev, "item_id", "text", index=saved)) == rows(got)
+    with pytest.raises(ValueError):
+        leakage.open_index(spark, path, run=8)
+    monkeypatch.setattr(leakage, "SENT_BYTES", 0)
+    monkeypatch.setattr(common, "SENT_BYTES", 0)
+    assert rows(leakage.leaked_passages(df, "doc_id", "text", ev, "item_id", "text")) == rows(got)
+
+
+def test_passages_with_small_edits_are_near(spark):
+    rng = random.Random(12)
+    item = [f"q{i}" for i in range(30)]
+    edited = item[:11] + ["inserted"] + item[11:18] + ["changed"] + item[19:]
+    noise = [f"n{rng.randrange(500)}" for _ in range(40)]
+    df = spark.createDataFrame([(1, " ".join(noise + edited[:20] + noise)), (2, " ".join(noise)), (3, " ".join(item[:6] + noise))], "doc_id bigint, text string")
+    ev = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    # every word occurs somewhere, so that no window of the item lacks an anchor
+    df = df.union(spark.createDataFrame([(4, " ".join(reversed(item)))], df.schema))
+    got = leakage.leaked_passages(df, "doc_id", "text", ev, "item_id", "text").collect()
+    assert [(r.doc_id, r.run_words, r.near_words, r["match"]) for r in got] == [(1, 11, 12, "near")]
 
 
 def test_stuffed_pages(spark):
