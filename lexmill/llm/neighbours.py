@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,15 +16,22 @@ from pyspark.sql import functions as F
 
 from lexmill.session import stored, task_count
 
-#: Rows that the partitioning and the classifier are fitted on, at most.
-SAMPLE = 12_000
-#: Aim for so many vectors in a partition, and the most partitions that the sample can carry.
-PER_PART, MOST_PARTS = 1_000, 192
-#: Partitions that a query looks into: the most probable ones until they hold this probability, but at most so many.
-PROBES, ENOUGH = 12, 0.995
+#: Rows that the partitioning and the classifier are fitted on, at most; and of each partition that is cut again.
+SAMPLE, SAMPLE_BELOW = 12_000, 6_000
+#: Aim for so many vectors in a partition, at any size of the collection.
+PER_PART = 1_000
+#: Partitions of the first level (the second number only for collections too large for the first one), and
+#: partitions that each of them is cut into, at most. Up to 65 million vectors a partition holds about PER_PART.
+TOP, BELOW = (64, 256), 256
+#: Part of the sample that is held back to find out how many partitions a query must look into.
+HELD_BACK = 2_000
+#: Share of a held-back vector's nearest vectors that must be met.
+RECALL = 0.96
 #: Members of a partition that one task compares at once; larger partitions are cut into such blocks.
 BLOCK = 16_384
 GRAPH_K = 10
+#: Neighbours found beyond the k wanted where the vectors as given are to rank them.
+SLACK = 6
 
 
 # --- fitted on the sample, on the driver ---------------------------------------------------------------------
@@ -109,15 +119,6 @@ class Router:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def routes(self, x: np.ndarray, probes: int, enough: float) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and partitions: per row its most probable partitions, the best first."""
-        p = self.probabilities(x)
-        probes = min(probes, p.shape[1])
-        order = np.argsort(-p, axis=1, kind="stable")[:, :probes]
-        before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
-        rows, cols = np.nonzero(before < enough)
-        return rows, order[rows, cols]
-
 
 def fit_router(x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, hidden: int = 128, epochs: int = 25, seed: int = 7) -> Router:
     """Trained (Adam, mini-batches) to tell the partitions of a vector's neighbours and its own."""
@@ -152,18 +153,86 @@ def fit_router(x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int,
     return Router(w[0] * scale, w[1], w[2], w[3])
 
 
-def fit_partitions(x: np.ndarray, n_rows: int) -> Router:
-    """Graph, balanced partition and router from the sample's unit vectors, for a collection of ``n_rows``."""
-    parts = 1
-    while parts < min(n_rows / PER_PART, MOST_PARTS) and parts * 8 <= len(x):
-        parts *= 2
-    graph = neighbour_graph(x, GRAPH_K)
-    if parts == 1:
+def fit_partitions(x: np.ndarray, parts: int, graph: np.ndarray | None = None) -> Router:
+    """Graph, balanced partition and router for at most ``parts`` partitions (a power of two) from unit vectors."""
+    while parts > 1 and parts * 8 > len(x):
+        parts //= 2
+    if parts <= 1:
         d = x.shape[1]
         return Router(np.zeros((d, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32))
+    graph = neighbour_graph(x, GRAPH_K)
     return fit_router(x, graph, balanced_partition(graph, parts), parts)
 
 
+def parts_for(rows: float) -> int:
+    """The power of two of partitions that leaves about PER_PART rows in each."""
+    return 1 << max(0, math.ceil(math.log2(max(rows / PER_PART, 1))))
+
+
+@dataclass
+class Tree:
+    """Partitions of one or two levels; the leaves are numbered through. enough: see ``routes``."""
+
+    top: Router
+    below: dict[int, Router]
+    enough: float = 1.0
+
+    def __post_init__(self):
+        widths = [self.below[i].b2.size if i in self.below else 1 for i in range(self.top.b2.size)]
+        self.first = np.concatenate([[0], np.cumsum(widths)])
+
+    @property
+    def leaves(self) -> int:
+        return int(self.first[-1])
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each member: the most probable one on either level."""
+        part = self.top.logits(x).argmax(1)
+        out = self.first[part]
+        for i in np.unique(part):
+            if i in self.below:
+                mine = part == i
+                out[mine] += self.below[i].logits(x[mine]).argmax(1)
+        return out
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """[rows, leaves]: of the first level times those within."""
+        p = self.top.probabilities(x)
+        out = np.empty((len(x), self.leaves), np.float32)
+        for i in range(p.shape[1]):
+            share = p[:, i : i + 1]
+            out[:, self.first[i] : self.first[i + 1]] = share * self.below[i].probabilities(x) if i in self.below else share
+        return out
+
+    def routes(self, x: np.ndarray, enough: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and leaves: of each row the most probable leaves until they hold ``enough`` probability."""
+        enough = self.enough if enough is None else enough
+        if enough > 1:
+            return np.repeat(np.arange(len(x)), self.leaves), np.tile(np.arange(self.leaves), len(x))
+        p = self.probabilities(x)
+        order = np.argsort(-p, axis=1, kind="stable")
+        sorted_p = np.take_along_axis(p, order, 1).astype(np.float64)
+        rows, cols = np.nonzero(np.cumsum(sorted_p, 1) - sorted_p < enough)
+        return rows, order[rows, cols]
+
+
+def calibrated(tree: Tree, x: np.ndarray, asked: np.ndarray, k: int, recall: float) -> float:
+    """The probability that leaves must hold together so that the vectors ``asked`` (row numbers of x, not seen by
+    the router) meet ``recall`` of their k nearest in x."""
+    home = tree.home(x)
+    needed = []
+    for a in range(0, len(asked), 128):
+        i = asked[a : a + 128]
+        sim = x[i] @ x.T
+        sim[np.arange(len(i)), i] = -2
+        near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        p = tree.probabilities(x[i])
+        for row, leaves in zip(p, home[near]):
+            needed += [float(row[row > row[leaf]].sum(dtype=np.float64)) for leaf in leaves]
+    # so much must have been looked into before the leaf's turn comes; a little more lets it in
+    return float(np.quantile(needed, recall)) + 1e-6 if needed else 1.0
+
+
 # --- over all rows ---------------------------------------------------------------------------------------------
 
 
@@ -173,13 +242,17 @@ def usable(vec: Column, dim: int) -> Column:
     return vec.isNotNull() & (F.size(vec) == dim) & finite & F.exists(vec, lambda x: x != 0)
 
 
+def usable_vectors(rows: DataFrame, record: str, vec: str, dim: int) -> DataFrame:
+    """record, vec of usable vectors; of a record's several vectors the least."""
+    clean = rows.select(F.col(record).alias("record"), F.col(vec).cast("array<double>").alias("vec"))
+    return clean.filter(F.col("record").isNotNull() & usable(F.col("vec"), dim)).groupBy("record").agg(F.min("vec").alias("vec"))
+
+
 def directions(rows: DataFrame, record: str, vec: str, dim: int) -> DataFrame:
     """record, unit (binary: ``dim`` float32 of the normalised vector) of usable vectors; a record counts once.
 
     Records of exactly the same direction have the same ``unit``.
     """
-    clean = rows.select(F.col(record).alias("record"), F.col(vec).cast("array<double>").alias("vec")).filter(F.col("record").isNotNull() & usable(F.col("vec"), dim))
-
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -188,62 +261,118 @@ def directions(rows: DataFrame, record: str, vec: str, dim: int) -> DataFrame:
                 x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32) + np.float32(0)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["record", "unit"])
 
-    return clean.groupBy("record").agg(F.min("vec").alias("vec")).mapInArrow(normalise, "record bigint, unit binary")
+    return usable_vectors(rows, record, vec, dim).mapInArrow(normalise, "record bigint, unit binary")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def nearest_classes(classes: DataFrame, dim: int, k: int, least: float, queries: DataFrame | None = None) -> DataFrame:
+def _sample(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of least hashes: the same on every run."""
+    return rows.orderBy(F.xxhash64("id"), "id").limit(n)
+
+
+def fit_tree(classes: DataFrame, dim: int, k: int, recall: float) -> Tree | None:
+    """The partitions and how far to look into them, fitted on bounded samples; None without a row.
+
+    The first level is fitted on the driver. Where the collection asks for more partitions than it has, every
+    partition is cut again by a router of its own, fitted by one task each on SAMPLE_BELOW of its rows.
+    """
+    sample = _sample(classes.select("id", "unit"), SAMPLE).select("unit").toPandas()
+    if not len(sample):
+        return None
+    x = np.frombuffer(b"".join(sample["unit"]), np.float32).reshape(-1, dim)
+    n = classes.count()
+    wanted = parts_for(n)
+    if wanted == 1:
+        return Tree(fit_partitions(x, 1), {})
+    held = min(HELD_BACK, len(x) // 6)
+    top = fit_partitions(x[held:], min(wanted, TOP[0] if wanted <= TOP[0] * BELOW else TOP[1]))
+    below = _fit_below(classes, dim, top) if wanted > top.b2.size else {}
+    tree = Tree(top, below)
+    # as the sample is thinner than the collection, its nearest few lie as far as the collection's k nearest
+    tree.enough = calibrated(tree, x, np.arange(held), min(max(1, math.ceil(k * len(x) / n)), k, len(x) - 1), recall)
+    return tree
+
+
+def _fit_below(classes: DataFrame, dim: int, top: Router) -> dict[int, Router]:
+    shared = classes.sparkSession.sparkContext.broadcast(Tree(top, {}))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                home = shared.value.home(_matrix(batch.column(1), dim))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32))], names=["id", "unit", "part"])
+
+    placed = stored(classes.select("id", "unit").mapInArrow(place, "id bigint, unit binary, part int"), "top")
+    # a row for each partition of the first level: at most TOP[1]
+    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    large = [(p, n, min(parts_for(n), BELOW)) for p, n in sorted(sizes.items()) if parts_for(n) > 1]
+    if not large:
+        return {}
+    plan = F.broadcast(classes.sparkSession.createDataFrame(large, "part int, n bigint, parts int"))
+    some = placed.join(plan, "part").filter(F.pmod(F.xxhash64("id", F.lit(7)), F.col("n")) < SAMPLE_BELOW)
+
+    def fit(rows):
+        rows = rows.sort_values("id")
+        router = fit_partitions(np.frombuffer(b"".join(rows["unit"]), np.float32).reshape(-1, dim), int(rows["parts"].iloc[0]))
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "router": [pickle.dumps(router)]})
+
+    fitted = some.select("part", "parts", "id", "unit").groupBy("part").applyInPandas(fit, "part int, router binary")
+    return {r["part"]: pickle.loads(bytes(r["router"])) for r in fitted.collect()}
+
+
+def nearest_classes(classes: DataFrame, dim: int, k: int, least: float, queries: DataFrame | None = None, recall: float = RECALL, exact: bool = False) -> DataFrame:
     """a, b, cosine: for each class its nearest other classes, at most k + 1 per block searched (not yet cut to k).
 
     classes: id, unit with distinct units. queries: the ids to search for (all, if None).
     """
     spark = classes.sparkSession
-    # fitted on a bounded sample: rows with the least hashes, the same on every run
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("unit").toPandas()
     schema = "a bigint, b bigint, cosine double"
-    if not len(sample):
+    tree = fit_tree(classes, dim, k, recall)
+    if tree is None:
         return spark.createDataFrame([], schema)
-    router = fit_partitions(np.frombuffer(b"".join(sample["unit"]), np.float32).reshape(-1, dim), classes.count())
-    shared = spark.sparkContext.broadcast(router)
+    shared = spark.sparkContext.broadcast(tree)
 
-    def route(probes: int, enough: float, role: int):
+    def route(role: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a in range(0, batch.num_rows, 4096):
-                    part = batch.slice(a, 4096)
-                    rows, parts = shared.value.routes(_matrix(part.column(1), dim), probes, enough)
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    x = _matrix(part.column(1), dim)
+                    rows, leaves = (np.arange(len(x)), shared.value.home(x)) if role == 0 else shared.value.routes(x, 2.0 if exact else None)
                     moved = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([*moved.columns, pa.array(parts.astype(np.int32)), pa.array(np.full(len(rows), role, np.int8))], names=["id", "unit", "part", "role"])
+                    yield pa.RecordBatch.from_arrays([*moved.columns, pa.array(leaves.astype(np.int32)), pa.array(np.full(len(rows), role, np.int8))], names=["id", "unit", "part", "role"])
 
         return run
 
     routed = "id bigint, unit binary, part int, role tinyint"
-    members = stored(classes.select("id", "unit").mapInArrow(route(1, 1.0, 0), routed), "members")
+    members = stored(classes.select("id", "unit").mapInArrow(route(0), routed), "members")
     asked = classes if queries is None else classes.join(queries.select("id"), "id", "left_semi")
-    probing = asked.select("id", "unit").mapInArrow(route(PROBES, ENOUGH, 1), routed)
-    # a partition with more than BLOCK members is cut into blocks, each of which is asked by every query
-    blocks = {r["part"]: -(-r["n"] // BLOCK) for r in members.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    table = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    n_blocks = F.coalesce(F.try_element_at(table, F.col("part")), F.lit(0))
-    placed = members.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
-    # queries are cut into as many groups as a partition has blocks, so that a hot one is spread both ways
-    sent = probing.withColumn("n", n_blocks).filter("n > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    probing = asked.select("id", "unit").mapInArrow(route(1), routed)
+    # a partition with more than BLOCK members is cut into blocks, and the queries that come to it into as many
+    # groups; each block meets each group in a task of its own. The table has a row per such partition.
+    cut = stored(members.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).filter("n > 1"), "cut")
+    def laid(rows: DataFrame, own: str, each: str) -> DataFrame:
+        n = F.coalesce(F.col("n"), F.lit(1))
+        placed = rows.join(F.broadcast(cut), "part", "left").withColumn(own, F.pmod(F.xxhash64("id"), n).cast("int"))
+        return placed.withColumn(each, F.explode(F.sequence(F.lit(0), n - 1))).select("part", "block", "group", "role", "id", "unit")
+
+    both = laid(members, "block", "group").unionByName(laid(probing, "group", "block"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (part, block, role): the members of a block, at most a few BLOCK, then its queries."""
+        """Rows come sorted by (part, block, group, role): the members of a block, at most a few BLOCK, then queries."""
         here, ids, held, flat = None, [], [], None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("part", "block", "role")], 1)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("part", "block", "group", "role")], 1)
             cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1 if len(keys) else []
             for a, b in zip([0, *cuts], [*cuts, len(keys)]):
                 if a == b:
                     continue
-                part, block, role = keys[a]
-                if (part, block) != here:
-                    here, ids, held, flat = (part, block), [], [], None
+                *place, role = keys[a].tolist()
+                if place != here:
+                    here, ids, held, flat = place, [], [], None
                 x, i = _matrix(batch.column("unit").slice(a, b - a), dim), batch.column("id").slice(a, b - a).to_numpy()
                 if role == 0:
                     held.append(x)
@@ -256,9 +385,9 @@ def nearest_classes(classes: DataFrame, dim: int, k: int, least: float, queries:
                 for c in range(0, len(x), 512):
                     yield _best(x[c : c + 512], i[c : c + 512], flat, members_ids, k, least)
 
-    both = placed.select("part", "block", "role", "id", "unit").unionByName(sent.select("part", "block", "role", "id", "unit"))
-    tasks = min(max(task_count(classes), 1), max(sum(blocks.values()), 1))
-    return both.repartition(tasks, "part", "block").sortWithinPartitions("part", "block", "role").mapInArrow(search, schema)
+    tasks = min(task_count(classes), tree.leaves) if cut.isEmpty() else task_count(classes)
+    ordered = both.repartition(tasks, "part", "block", "group").sortWithinPartitions("part", "block", "group", "role")
+    return ordered.mapInArrow(search, schema)
 
 
 def _best(x: np.ndarray, i: np.ndarray, members: np.ndarray, ids: np.ndarray, k: int, least: float) -> pa.RecordBatch:
@@ -275,11 +404,14 @@ def _best(x: np.ndarray, i: np.ndarray, members: np.ndarray, ids: np.ndarray, k:
     return pa.RecordBatch.from_arrays([pa.array(i[rows]), pa.array(ids[cols]), pa.array(cosine)], names=["a", "b", "cosine"])
 
 
-def most_similar(rows: DataFrame, record: str, vec: str, k: int = 10, dim: int = 100, least: float = -1.0, queries: DataFrame | None = None) -> DataFrame:
+def most_similar(rows: DataFrame, record: str, vec: str, k: int = 10, dim: int = 100, least: float = -1.0, queries: DataFrame | None = None, recall: float = RECALL, exact: bool = False, refine: bool = False) -> DataFrame:
     """record, neighbour, cosine, rank: the k nearest other records by cosine, ties by the smaller record.
 
-    Approximate: a query is compared with all vectors of its most probable partitions (recall is measured in
-    the tests). ``least`` leaves out neighbours of a lower cosine. ``queries`` (a column named as the record)
+    Approximate: a query is compared with all vectors of its most probable partitions. How many those are is found
+    out on held-back vectors, so that ``recall`` of the nearest are met whatever the vectors are like; there is no
+    cap. Vectors without any structure make a query look into most partitions. ``exact`` looks into all. Cosines are of
+    single precision unless ``refine`` asks for those of the vectors as given, rounded to nine digits before they
+    are ranked: then SLACK more neighbours are found first, so that rounding can't decide who is among the k. ``least`` leaves out neighbours of a lower cosine. ``queries`` (a column named as the record)
     restricts the records searched for, never those searched. Null vectors, vectors of another length, with
     non-finite elements or of zero length do not take part; repeated records count once; an empty table gives
     no row. Records of equal direction are one class in the search; each class hands on its k + 1 least records
@@ -295,14 +427,22 @@ def most_similar(rows: DataFrame, record: str, vec: str, k: int = 10, dim: int =
     # ranks up to a bound are cut within each task before the shuffle, so that no class or list is gathered
     best = lambda rows, key, n, *order: rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= n)
     # the k + 1 least records of each class
-    first = best(members, "id", k + 1, F.asc("record")).select("id", F.col("record").alias("neighbour"))
+    held = k + 1 + (SLACK if refine else 0)
+    first = best(members, "id", held, F.asc("record")).select("id", F.col("record").alias("neighbour"))
     wanted = members if queries is None else members.join(queries.select(F.col(record).cast("bigint").alias("record")), "record", "left_semi")
     asked = None if queries is None else wanted.select("id").distinct()
-    near = nearest_classes(classes, dim, k, least, asked).unionByName(classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")))
+    near = nearest_classes(classes, dim, held - 1, least, asked, recall, exact).unionByName(classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")))
     # k nearest classes hold the k nearest records
-    cut = best(near, "a", k + 1, F.desc("cosine"), F.asc("b")).drop("_n")
+    cut = best(near, "a", held, F.desc("cosine"), F.asc("b")).drop("_n")
     pairs = wanted.withColumnRenamed("id", "a").join(cut, "a").join(first.withColumnRenamed("id", "b"), "b").filter("record <> neighbour")
-    out = best(pairs, "record", k, F.desc("cosine"), F.asc("neighbour")).filter(F.col("cosine") >= least)
+    out = best(pairs, "record", k + SLACK if refine else k, F.desc("cosine"), F.asc("neighbour"))
+    if refine:
+        vecs = usable_vectors(rows, record, vec, dim)
+        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
+        both = out.select("record", "neighbour").join(vecs, "record").join(vecs.select(F.col("record").alias("neighbour"), F.col("vec").alias("other")), "neighbour")
+        cosine = F.round(dot("vec", "other") / F.sqrt(dot("vec", "vec")) / F.sqrt(dot("other", "other")), 9)
+        out = best(both.select("record", "neighbour", cosine.alias("cosine")), "record", k, F.desc("cosine"), F.asc("neighbour"))
+    out = out.filter(F.col("cosine") >= least)
     return out.select(F.col("record").alias(record), "neighbour", "cosine", F.col("_n").cast("bigint").alias("rank"))
 
 

@@ -78,6 +78,9 @@ SQL = {
     "p7_ranking": f"""{WALK} select qid, doc_id, rl as rank_lex_score, rs as rank_sem_score, round(m, 9) as mass,
         row_number() over (partition by qid order by m desc, doc_id) as rank from rounded""",
     "p1_found": f"{SIMILAR} select x.a as id_a, x.b as id_b from top x join top y on x.a = y.b and x.b = y.a where x.a < x.b",
+    "p1_nearest": f"""{SIMILAR.replace("b.vec), 6)", "b.vec), 9)")},
+        ranked as (select a as id, b as neighbour, c as cosine, row_number() over (partition by a order by c desc, b) as rank from near where a % 20 = 0)
+        select id, neighbour, cosine, rank from ranked where rank <= 10""",
     "p5_found": f"""{EDITED} select a as doc_id_a, b as doc_id_b from shared join sizes x on x.id = a join sizes y on y.id = b
         where s >= 0.6 * (x.n + y.n - s)""",
     "p5_groups": f"""{EDITED.replace("with texts", "with recursive texts")}, pairs as (select a, b from shared join sizes x on x.id = a join sizes y on y.id = b

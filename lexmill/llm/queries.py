@@ -49,7 +49,7 @@ def p1_nearest(s, d):
     """The ten most similar terms of every twentieth term, against all terms."""
     vectors = table(s, d, "term_vectors")
     asked = vectors.filter("id % 20 = 0").select("id").distinct()
-    return neighbours.most_similar(vectors, "id", "vec", k=10, queries=asked).withColumn("cosine", F.round("cosine", 6))
+    return neighbours.most_similar(vectors, "id", "vec", k=10, queries=asked, refine=True)
 
 
 def _fused(s, d):

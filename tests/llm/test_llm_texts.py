@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,6 +291,50 @@ def test_most_similar_vectors(spark):
     assert neighbours.most_similar(df.limit(0), "id", "vec").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["latent", "clusters", "isotropic"])
+@pytest.mark.parametrize("top", [(64, 64), (8, 8)])
+def test_recall_where_many_partitions_are_left_out(spark, monkeypatch, kind, top):
+    """64 leaves on one level or on two; how far to look is found out from the vectors themselves."""
+    monkeypatch.setattr(neighbours, "PER_PART", 100)
+    monkeypatch.setattr(neighbours, "TOP", top)
+    rng = np.random.default_rng(4)
+    n = 6000
+    x = {
+        "latent": lambda: rng.standard_normal((n, 12)) @ rng.standard_normal((12, 100)) + rng.standard_normal((n, 100)) * 0.5,
+        "clusters": lambda: rng.standard_normal((300, 100))[rng.integers(0, 300, n)] + rng.standard_normal((n, 100)) * 0.5,
+        "isotropic": lambda: rng.standard_normal((n, 100)),
+    }[kind]()
+    trees = []
+    fit = neighbours.fit_tree
+    monkeypatch.setattr(neighbours, "fit_tree", lambda *a: trees.append(fit(*a)) or trees[-1])
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "vec": x.tolist()}))
+    asked = spark.range(0, n, 20)
+    got = {}
+    for r in neighbours.most_similar(df, "id", "vec", queries=asked).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    want = {i: set(np.argsort(-sim[i])[:10].tolist()) for i in range(0, n, 20)}
+    assert np.mean([len(want[i] & got[i]) / 10 for i in want]) >= 0.9
+    tree = trees[-1]
+    leaves = np.bincount(tree.home(u.astype(np.float32)), minlength=tree.leaves)
+    rows, to = tree.routes(u[::20].astype(np.float32))
+    share = leaves[to].sum() / len(want) / n
+    assert tree.leaves >= 32 and (share < 0.5 or kind == "isotropic") and (len(tree.below) > 1) == (top[0] == 8)
+
+
+def test_exact_search_looks_into_all_partitions(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_PART", 50)
+    x = np.random.default_rng(5).standard_normal((1000, 100))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    got = {r.id: r.neighbour for r in neighbours.most_similar(df, "id", "vec", k=1, exact=True).collect()}
+    assert got == {i: sim[i].argmax() for i in range(1000)}
+
+
 def test_hot_partition_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 64)
     x = np.random.default_rng(2).standard_normal((400, 100))
