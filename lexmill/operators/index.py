@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import scoring
 from lexmill.functions.codecs import CODECS
 from lexmill.functions.text import clean_tokens
+from lexmill.operators.dictionary import dense_ids
 from lexmill.session import stored, task_count
 
 
@@ -55,14 +56,32 @@ def corpus_statistics(lengths: DataFrame) -> DataFrame:
     )
 
 
+#: Of the layout of saved indexes.
+VERSION = 2
+
+
+def block_metadata(rows: DataFrame, n_docs: Column, k1: float = scoring.K1) -> DataFrame:
+    """term, df, ub from metadata rows(block, term, df, ub) of blocks written by several versions.
+
+    A (block, term) counts once (the greatest df); blocks add up. Where a block has no ub (old metadata), the
+    term's bound is made from its df and the number of documents. Rows without a block or a term are dropped.
+    """
+    once = rows.filter("block is not null and term is not null").groupBy("block", "term").agg(F.max("df").alias("df"), F.max("ub").alias("ub"))
+    terms = once.groupBy("term").agg(F.sum("df").alias("df"), F.max("ub").alias("ub"), F.count_if(F.col("ub").isNull()).alias("old"))
+    bound = scoring.bm25_bound(scoring.bm25_idf(F.col("df"), n_docs), k1)
+    return terms.select("term", "df", F.when(F.col("old") > 0, bound).otherwise(F.col("ub")).alias("ub"))
+
+
 @dataclass(frozen=True)
 class Index:
-    """An index: postings(term, doc_id, tf), terms(term, df, cf), docs(doc_id, doc_len), codec name."""
+    """An index: postings(term, doc_id, tf), terms(term, df, cf), docs(doc_id, doc_len), codec name; of a saved index
+    terms has also term_id and ub, and there are names(doc_id, doc_name) if it was saved with them."""
 
     postings: DataFrame
     terms: DataFrame
     docs: DataFrame
     codec: str = "vbe"
+    names: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
@@ -92,23 +111,36 @@ class Index:
 
     def save(self, path: str, files: int = 64) -> Index:
         """Writes one table per relation, postings in ranges of (term, doc_id): also a very frequent term is
-        spread over several files, and a term's statistics in the footers prune everything else."""
+        spread over several files, and a term's statistics in the footers prune everything else. The terms carry
+        their ids and the bounds of their gains, so that a search needs no second look at the postings."""
+        spark = self.postings.sparkSession
         postings = self.postings.repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id")
         postings.write.mode("overwrite").parquet(f"{path}/postings")
-        spark = postings.sparkSession
         written = Index.of(spark.read.parquet(f"{path}/postings"), self.codec)
-        written.terms.repartitionByRange(max(1, files // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        terms = written.weighted_terms().select("term", "df", "cf", "ub").join(dense_ids(written.terms, "term", "term_id"), "term")
+        terms = terms.repartitionByRange(max(1, files // 8), "term").sortWithinPartitions("term")
+        terms.write.mode("overwrite").parquet(f"{path}/terms")
         written.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        spark.createDataFrame([(self.codec, 1)], "codec string, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        if self.names is not None:
+            self.names.select("doc_id", "doc_name").filter("doc_id is not null").dropDuplicates(["doc_id"]).write.mode("overwrite").parquet(f"{path}/names")
+        meta = [(self.codec, VERSION, self.names is not None)]
+        spark.createDataFrame(meta, "codec string, version int, named boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
         return Index.open(spark, path)
 
     @staticmethod
     def open(spark: SparkSession, path: str, codec: str | None = None) -> Index:
-        """Opens a saved index; asking for another codec than it was saved with is an error, not a guess."""
-        saved = spark.read.parquet(f"{path}/meta").first()["codec"]
-        if codec not in (None, saved):
-            raise ValueError(f"index was saved with codec {saved}, not {codec}")
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "docs")), codec=saved)
+        """Opens a saved index; asking for another codec than it was saved with is an error, not a guess.
+
+        Indexes of version 1 lack term ids, bounds and names; the bounds are then made from the statistics.
+        """
+        meta = spark.read.parquet(f"{path}/meta").first().asDict()
+        if codec not in (None, meta["codec"]):
+            raise ValueError(f"index was saved with codec {meta['codec']}, not {codec}")
+        names = spark.read.parquet(f"{path}/names") if meta.get("named") else None
+        index = Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "docs")), codec=meta["codec"], names=names)
+        if "ub" in index.terms.columns:
+            return index
+        return replace(index, terms=index.weighted_terms().select("term", "df", "cf", "ub"))
 
     @staticmethod
     def of(postings: DataFrame, codec: str = "vbe") -> Index:
@@ -168,20 +200,37 @@ def gaps_decoded(gapped: DataFrame) -> DataFrame:
     return joined.select("term", (F.col("_within") + F.coalesce("_carry", F.lit(0))).alias("doc_id"), "tf")
 
 
-def postings_lists(postings: DataFrame, chunk: int = 4096) -> DataFrame:
-    """term, chunk, df, doc_ids, tfs: ascending lists of at most about ``chunk`` postings each.
+#: Postings of a chunk of a list, at most.
+CHUNK = 4096
+
 
-    A term's postings are cut into ranges of document ids, so that no task ever holds the whole list of a very
-    frequent term; a term with up to ``chunk`` postings has the one chunk 0. df counts the chunk's postings.
+def chunked(postings: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """term, doc_id, tf, chunk: each list in ascending order is cut after every ``chunk`` postings.
+
+    Running counts are taken within ranges and carried over their borders, so no task ever holds the whole list
+    of a very frequent term, however its document ids lie. Only lists that are cut at all go that way.
+    """
+    plain = postings.select("term", "doc_id", "tf")
+    long = stored(plain.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") > chunk).select("term"), "long")
+    whole = lambda rows: rows.withColumn("chunk", F.lit(0).cast("bigint"))
+    if long.isEmpty():
+        return whole(plain)
+    ranged = _in_ranges(plain.join(long, "term", "left_semi"))
+    within = F.row_number().over(W.partitionBy("_part", "term").orderBy("doc_id"))
+    sizes = ranged.groupBy("term", "_part").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy("term").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    placed = ranged.withColumn("_i", within).join(_carried(sizes, earlier), ["term", "_part"], "left")
+    at = F.coalesce("_carry", F.lit(0)) + F.col("_i") - 1
+    return placed.select("term", "doc_id", "tf", F.floor(at / chunk).alias("chunk")).unionByName(whole(plain.join(long, "term", "left_anti")))
+
+
+def postings_lists(postings: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """term, chunk, df, doc_ids, tfs: ascending lists of at most ``chunk`` postings each.
+
+    A term with up to ``chunk`` postings has the one chunk 0. df counts the chunk's postings.
     """
-    sizes = postings.groupBy("term").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter(F.col("n") > chunk)
-    pieces = F.ceil(F.col("n") / chunk)
-    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / pieces), F.lit(1))
-    cut = postings.join(sizes.select("term", "lo", width.alias("width")), "term", "left").select(
-        "term", "doc_id", "tf", F.coalesce(F.floor((F.col("doc_id") - F.col("lo")) / F.col("width")), F.lit(0)).alias("chunk")
-    )
     pairs = F.sort_array(F.collect_list(F.struct("doc_id", "tf")))
-    lists = cut.groupBy("term", "chunk").agg(F.count("*").alias("df"), pairs.alias("p"))
+    lists = chunked(postings, chunk).groupBy("term", "chunk").agg(F.count("*").alias("df"), pairs.alias("p"))
     return lists.select("term", "chunk", "df", F.col("p.doc_id").alias("doc_ids"), F.col("p.tf").alias("tfs"))
 
 
@@ -196,14 +245,17 @@ def decoded_lists(encoded: DataFrame, codec: str) -> DataFrame:
     return encoded.select("term", "chunk", "df", c.decode(F.col("postings_bytes")).alias("doc_ids"), c.decode_tf(F.col("tf_bytes")).alias("tfs"))
 
 
-def codec_sizes(postings: DataFrame) -> DataFrame:
-    """codec, postings_bytes, tf_bytes over the whole index, from closed forms: no list is assembled.
+def codec_sizes(postings: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """codec, postings_bytes, tf_bytes of the encoded chunks of the whole index, from closed forms: no list is
+    assembled.
 
-    Gamma codes are padded to whole bytes and headed by four bytes once per term.
+    Every chunk begins anew with its first document id. Gamma codes are padded to whole bytes and headed by
+    four bytes once per chunk.
     """
     from lexmill.functions.codecs import gamma_bits, vbe_size
 
-    per_term = postings_gaps(postings).groupBy("term").agg(
+    before = F.lag("doc_id", 1, 0).over(W.partitionBy("term", "chunk").orderBy("doc_id"))
+    per_term = chunked(postings, chunk).withColumn("gap", F.col("doc_id") - before).groupBy("term", "chunk").agg(
         F.count("*").alias("n"),
         F.sum(vbe_size(F.col("gap"))).alias("vp"),
         F.sum(vbe_size(F.col("tf"))).alias("vt"),

@@ -57,12 +57,21 @@ def tfidf_scores(index: Index, queries: DataFrame) -> DataFrame:
     return _accumulated(hits.select("qid", "doc_id", (F.col("qtf") * F.col("idf") * scoring.tf_weight(F.col("tf"))).alias("gain")))
 
 
-def _gains(index: Index, terms: DataFrame, k1: float, b: float) -> DataFrame:
-    """qid, term, doc_id, gain of each query term in each of its documents; a missing length counts as average."""
+def _term_gains(index: Index, terms: DataFrame, k1: float, b: float) -> DataFrame:
+    """term, doc_id, gain of distinct terms(term, idf) in each of their documents; a missing length counts as average.
+
+    Gains depend on no query, so a term that many queries ask for meets the lengths once.
+    """
     avgdl = index.avgdl()
     hits = index.postings.join(terms, "term").join(index.docs, "doc_id", "left")
     tf = scoring.bm25_tf(F.col("tf"), F.coalesce(F.col("doc_len").cast("double"), avgdl), avgdl, k1, b)
-    return hits.select("qid", "term", "doc_id", (F.col("qtf") * F.col("idf") * tf).alias("gain"))
+    return hits.select("term", "doc_id", (F.col("idf") * tf).alias("gain"))
+
+
+def _gains(index: Index, terms: DataFrame, k1: float, b: float) -> DataFrame:
+    """qid, doc_id, gain of each query term in each of its documents."""
+    hits = _term_gains(index, terms.select("term", "idf").distinct(), k1, b).join(terms.select("qid", "term", "qtf"), "term")
+    return hits.select("qid", "doc_id", (F.col("qtf") * F.col("gain")).alias("gain"))
 
 
 def _bm25_terms(index: Index, queries: DataFrame, dedup: bool, k1: float) -> DataFrame:
@@ -84,54 +93,56 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, dedup: bool = False, k1:
     return top_k(bm25_scores(index, queries, dedup, k1, b), k, "qid")
 
 
-def _essential(terms: DataFrame) -> DataFrame:
-    """Marks the terms that are scored first: in falling order of bound, those that hold the first half of it.
+#: Postings of non-essential terms from which on candidates are sought first; below, one pass is cheaper.
+CANDIDATES_FIRST = 20_000_000
 
-    Adds rest_ub, the bounds' sum of the query's other terms.
-    """
-    order = W.partitionBy("qid").orderBy(F.desc("ub"), F.asc("term")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy("qid")
-    before = F.sum("ub").over(order) - F.col("ub")
-    marked = terms.withColumn("essential", before < F.sum("ub").over(whole) / 2)
-    return marked.withColumn("rest_ub", F.sum(F.when(~F.col("essential"), F.col("ub")).otherwise(0.0)).over(whole))
 
+def pruned_terms(index: Index, queries: DataFrame, k: int = 10, k1: float = scoring.K1, b: float = scoring.B) -> tuple[DataFrame, DataFrame]:
+    """Gains (term, doc_id, gain) of the batch's terms, and its terms (qid, term, df, ub, essential).
 
-def pruned_candidates(index: Index, queries: DataFrame, k: int = 10, k1: float = scoring.K1, b: float = scoring.B) -> tuple[DataFrame, DataFrame]:
-    """The plan's two parts: partial scores by essential terms with the threshold, and all marked terms.
-
-    The k-th best partial score is a lower bound of the k-th best score, as gains are positive. A document
-    that was not met by an essential term can score rest_ub at most.
+    As gains are positive, a query's k-th best score is at least the k-th best gain of any of its terms, theta.
+    Terms are non-essential as long as their bounds, the least first, add up to less: a document that holds
+    no other term can't be among the k best.
     """
-    # both are read several times below: the marked terms are few, the partial scores are the costly part
-    terms = stored(_essential(_bm25_terms(index, queries, True, k1)), "marked")
-    partial = _gains(index, terms.filter("essential"), k1, b).groupBy("qid", "doc_id").agg(F.sum("gain").alias("partial"))
-    partial = stored(partial, "partial")
-    best = top_k(partial, k, "qid", score="partial").groupBy("qid").agg(F.min("partial").alias("low"), F.count("*").alias("n"))
-    theta = best.select("qid", F.when(F.col("n") >= k, F.col("low")).otherwise(0.0).alias("theta"))
-    rest = terms.groupBy("qid").agg(F.max("rest_ub").alias("rest_ub"))
-    return partial.join(theta, "qid").join(rest, "qid"), terms
+    asked = stored(_bm25_terms(index, queries, True, k1), "bounds")
+    gains = stored(_term_gains(index, asked.select("term", "idf").distinct(), k1, b), "gains")
+    # the k best of each term are cut within each task before the shuffle
+    best = gains.withColumn("n", F.row_number().over(W.partitionBy("term").orderBy(F.desc("gain")))).filter(F.col("n") <= k)
+    kth = best.groupBy("term").agg(F.min("gain").alias("kth"), F.count("*").alias("n")).filter(F.col("n") == k)
+    theta = F.max("kth").over(W.partitionBy("qid"))
+    upto = F.sum("ub").over(W.partitionBy("qid").orderBy("ub", "term").rowsBetween(W.unboundedPreceding, W.currentRow))
+    slack = 10 ** -(DIGITS - 1)
+    marked = asked.join(kth.select("term", "kth"), "term", "left").withColumn("essential", upto >= F.coalesce(theta, F.lit(0.0)) - slack)
+    return gains, marked.select("qid", "term", "df", "ub", "essential")
+
+
+def _met(gains: DataFrame, terms: DataFrame) -> DataFrame:
+    """qid, doc_id, score, essential: documents that hold a query term, and whether they hold an essential one."""
+    hits = gains.join(terms.select("qid", "term", "essential"), "term")
+    return hits.groupBy("qid", "doc_id").agg(F.sum("gain").alias("score"), F.max("essential").alias("essential"))
 
 
 def bm25_pruned(index: Index, queries: DataFrame, k: int = 10, k1: float = scoring.K1, b: float = scoring.B) -> DataFrame:
     """The same rows as ``bm25(dedup=True)``, leaving out documents whose bound stays below the threshold."""
-    slack = 10 ** -(DIGITS - 1)
-    partial, terms = pruned_candidates(index, queries, k, k1, b)
-    alive = partial.filter(F.col("partial") + F.col("rest_ub") >= F.col("theta") - slack)
-    bounds = partial.groupBy("qid").agg(F.max("theta").alias("theta"), F.max("rest_ub").alias("rest"))
-    others = _gains(index, terms.filter("not essential"), k1, b)
-    # documents met by other terms only matter where those terms alone can reach the threshold
-    others = others.join(bounds, "qid", "left").join(alive.select("qid", "doc_id", F.lit(True).alias("met")), ["qid", "doc_id"], "left")
-    others = others.filter(F.col("met") | F.col("theta").isNull() | (F.col("rest") >= F.col("theta") - slack)).select("qid", "doc_id", "gain")
-    first = alive.select("qid", "doc_id", F.col("partial").alias("gain"))
-    return top_k(_accumulated(first.unionByName(others)), k, "qid")
+    if k < 1:
+        return top_k(bm25_scores(index, queries, True, k1, b), k, "qid")
+    gains, terms = pruned_terms(index, queries, k, k1, b)
+    terms = stored(terms, "marked")
+    spared = terms.filter("not essential").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    if spared > CANDIDATES_FIRST:
+        # long lists of common terms are only met by documents that an essential term has found
+        found = gains.join(terms.filter("essential").select("qid", "term"), "term")
+        candidates = found.select("qid", "doc_id").distinct()
+        others = gains.join(terms.filter("not essential").select("qid", "term"), "term").join(candidates, ["qid", "doc_id"], "left_semi")
+        scored = found.unionByName(others).groupBy("qid", "doc_id").agg(F.sum("gain").alias("score"))
+    else:
+        scored = _met(gains, terms).filter("essential")
+    return top_k(scored.select("qid", "doc_id", F.round("score", DIGITS).alias("score")), k, "qid")
 
 
 def pruning_statistics(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
-    """qid, met, kept: documents met by essential terms, and those that the bound leaves over."""
-    slack = 10 ** -(DIGITS - 1)
-    partial, _ = pruned_candidates(index, queries, k)
-    kept = F.count_if(F.col("partial") + F.col("rest_ub") >= F.col("theta") - slack)
-    return partial.groupBy("qid").agg(F.count("*").alias("met"), kept.alias("kept"))
+    """qid, met, kept: documents that hold a query term, and those that the bounds leave over."""
+    return _met(*pruned_terms(index, queries, k)).groupBy("qid").agg(F.count("*").alias("met"), F.count_if("essential").alias("kept"))
 
 
 def weight_matrix(index: Index, n_docs: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexmill.operators.index import Index, merge_postings, postings_of
+from lexmill.operators.index import Index, postings_of
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -24,5 +24,11 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str, once: bool = True)
 
 
 def merged(spark: SparkSession, path: str) -> Index:
-    """The index over all blocks written so far; tf of the same term and document add up."""
-    return Index.of(merge_postings(spark.read.parquet(path)))
+    """The index over all blocks written so far.
+
+    A document delivered again in a later batch counts once, with its first delivery that has a token; so the
+    postings of a document come from one block and need no adding up.
+    """
+    blocks = spark.read.option("basePath", path).parquet(path)
+    first = blocks.groupBy("doc_id").agg(F.min("batch").alias("batch"))
+    return Index.of(blocks.join(first, ["doc_id", "batch"], "left_semi").select("term", "doc_id", "tf"))

@@ -45,13 +45,23 @@ def test_rankings(spark, toy):
     assert ranking.bm25(toy, q, 0).count() == 0
 
 
-def test_pruned_equals_exhaustive_on_many(spark):
+def test_pruned_equals_exhaustive_on_many(spark, monkeypatch):
     words = [f"w{c}" for c in "abcdefghij"]
     docs = [(i, "x", " ".join(words[(i * k) % 10][1:] * 2 for k in range(1, 2 + i % 7))) for i in range(120)]
     ix = index.Index.build(spark.createDataFrame(docs, "doc_id bigint, block string, text string")).cached()
     q = ask(spark, "aa bb cc", "dd ee ff gg", "aa", "hh ii jj aa bb")
     for k in (1, 3, 10):
         assert rows(ranking.bm25(ix, q, k, dedup=True)) == rows(ranking.bm25_pruned(ix, q, k))
+    monkeypatch.setattr(ranking, "CANDIDATES_FIRST", -1)
+    assert rows(ranking.bm25(ix, q, 3, dedup=True)) == rows(ranking.bm25_pruned(ix, q, 3))
+
+
+def test_pruning_leaves_out_documents_of_common_terms(spark, toy):
+    docs = [(i, "x", "rare common" if i < 30 else "common word") for i in range(400)]
+    ix = index.Index.build(spark.createDataFrame(docs, "doc_id bigint, block string, text string"))
+    q = ask(spark, "rare common")
+    assert rows(ranking.pruning_statistics(ix, q, 10)) == [("Q0", 400, 30)]
+    assert rows(ranking.bm25(ix, q, 10, dedup=True)) == rows(ranking.bm25_pruned(ix, q, 10))
 
 
 def test_blocks_merge_to_the_same_postings(docs, toy):
@@ -61,19 +71,40 @@ def test_blocks_merge_to_the_same_postings(docs, toy):
 
 
 def test_long_lists_are_cut(spark):
-    postings = spark.createDataFrame([("t", i * 3, 1) for i in range(100)] + [("u", 5, 2)], "term string, doc_id bigint, tf bigint")
+    postings = spark.createDataFrame([("t", i * 3, 1) for i in range(100)] + [("t", 10**9, 3)] + [("u", 5, 2)], "term string, doc_id bigint, tf bigint")
     lists = index.postings_lists(postings, chunk=16)
     back = lists.select("term", F.explode(F.arrays_zip("doc_ids", "tfs")).alias("p")).select("term", "p.doc_ids", "p.tfs")
-    assert rows(back) == rows(postings) and lists.agg(F.max("df")).first()[0] <= 20
+    assert rows(back) == rows(postings) and [r.df for r in lists.filter("term = 't'").orderBy("chunk").collect()] == [16] * 6 + [5]
+    assert rows(lists.filter("chunk > 0 and doc_ids[0] <= 45")) == []
+    for codec in ("standard", "vbe", "elias"):
+        coded = index.encoded_lists(lists, codec).agg(F.sum(F.octet_length("postings_bytes")), F.sum(F.octet_length("tf_bytes"))).first()
+        assert tuple(coded) == tuple(index.codec_sizes(postings, chunk=16).filter(F.col("codec") == codec).first())[1:]
 
 
 def test_save_and_open(spark, toy, tmp_path):
     saved = toy.save(str(tmp_path / "ix"), files=2)
     assert rows(saved.postings) == rows(toy.postings) and rows(saved.lookup("cat")) == [("cat", 1, 2)]
+    assert [(r.term_id, r.term, round(r.ub, 6)) for r in saved.terms.orderBy("term_id").collect()][1] == (1, "cat", 2.157824)
+    assert rows(ranking.bm25(saved, ask(spark, "cat dog"))) == rows(ranking.bm25(toy, ask(spark, "cat dog")))
     with pytest.raises(ValueError):
         index.Index.open(spark, str(tmp_path / "ix"), "elias")
 
 
+def test_an_index_of_the_first_version_opens(spark, toy, tmp_path):
+    path = str(tmp_path / "old")
+    toy.save(path, files=2)
+    toy.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    spark.createDataFrame([("vbe", 1)], "codec string, version int").write.mode("overwrite").parquet(f"{path}/meta")
+    old = index.Index.open(spark, path)
+    assert {r.term: round(r.ub, 6) for r in old.terms.collect()}["cat"] == 2.157824 and old.names is None
+
+
+def test_metadata_of_old_blocks(spark):
+    rows_ = [("a", "cat", 2, 1.5), ("a", "cat", 2, 1.5), ("b", "cat", 1, 1.7), ("a", "dog", 1, None), ("b", "dog", 1, 0.4), (None, "x", 1, 1.0), ("a", None, 1, 1.0)]
+    got = {r.term: (r.df, round(r.ub, 6)) for r in index.block_metadata(spark.createDataFrame(rows_, "block string, term string, df bigint, ub double"), F.lit(3)).collect()}
+    assert got == {"cat": (3, 1.7), "dog": (2, 1.034008)}
+
+
 def test_empty_corpus(spark):
     ix = index.Index.build(spark.createDataFrame([], "doc_id bigint, block string, text string"))
     assert ix.stats.first()[0] == 0 and ranking.bm25(ix, ask(spark, "cat")).count() == 0

@@ -44,6 +44,15 @@ def test_stream_builds_the_same_index(spark, tmp_path):
     assert rows(blocks.merged(spark, str(tmp_path / "blocks")).postings) == rows(Index.build(docs).postings)
 
 
+def test_documents_delivered_again_count_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "heart cat heart dog"), (2, "dog bird")], "doc_id bigint, text string")
+    for i, part in enumerate((docs.filter("doc_id = 1"), docs, docs.filter("doc_id = 1"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/part={i}"))
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    blocks.index_stream(stream, str(tmp_path / "blocks"), str(tmp_path / "state")).awaitTermination()
+    assert rows(blocks.merged(spark, str(tmp_path / "blocks")).postings) == rows(Index.build(docs).postings)
+
+
 def test_command_line(spark, collection, tmp_path, capsys):
     args = cli.parser().parse_args(["dog", "--collection", collection, "--output", str(tmp_path / "ix"), "--metric", "wand", "--snippets", "--build", "--dictionary", "trie"])
     cli.run(spark, args)
