@@ -1,18 +1,24 @@
-"""Command line: build an index over a directory of text files, rank queries, show snippets."""
+"""Command line: build an index over a directory of text files, rank queries, show snippets; evaluate rankings.
+
+``lexmill QUERY ...`` ranks, ``lexmill evaluate --queries FILE --qrels FILE ...`` prints means per method.
+"""
 
 from __future__ import annotations
 
 import argparse
 import os
+import shutil
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.codecs import CODECS
-from lexmill.operators import hybrid, lsi, ranking, snippets
+from lexmill.operators import lsi, snippets
 from lexmill.operators.index import Index, merge_postings
 from lexmill.operators.index import block_postings as blocks_of
+from lexmill.plans import evaluate
 from lexmill.session import local_session, stored
 from lexmill.sources import tables
 
@@ -27,20 +33,32 @@ SHOWN = 5
 TITLES = {"tfidf": "TF-IDF", "bm25": "BM25", "wand": "BM25 + bound-pruned top-k", "adaptive": "Adaptive hybrid"}
 
 
-def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="lexmill", description="Ranked retrieval over a directory of text files")
-    p.add_argument("query", nargs="?", help="free text; without it three default queries are run")
+def _indexing(p: argparse.ArgumentParser) -> argparse.ArgumentParser:
     p.add_argument("--collection", default="collection", help="directory with one sub-directory per block")
     p.add_argument("--index", choices=["bsbi", "spimi"], default="bsbi", help="by blocks and merged, or in one pass")
     p.add_argument("--dictionary", choices=["standard", "trie", "patricia"], default="standard")
     p.add_argument("--compression", choices=["standard", "vbe", "elias"], default="vbe")
     p.add_argument("--metric", choices=[*TITLES, "all"], default="all")
     p.add_argument("--build", action="store_true", help="build anew, also where an index exists")
-    p.add_argument("--snippets", action="store_true")
     p.add_argument("--output", help="directory of the index (index, or index_bonus for spimi)")
     return p
 
 
+def parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="lexmill", description="Ranked retrieval over a directory of text files")
+    p.add_argument("query", nargs="?", help="free text; without it three default queries are run")
+    p.add_argument("--snippets", action="store_true")
+    return _indexing(p)
+
+
+def evaluation_parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="lexmill evaluate", description="Means of RBP, DCG, NDCG and AP, and seconds, per method")
+    p.add_argument("--queries", required=True, help="lines of a query id and its words")
+    p.add_argument("--qrels", required=True, help="lines of a query id and the id of a relevant document")
+    p.add_argument("--depth", type=int, default=1000)
+    return _indexing(p)
+
+
 def notices(args: argparse.Namespace) -> list[str]:
     """All dictionaries are the same relation here; choices that have no effect are named."""
     if args.index == "bsbi" and args.dictionary != "standard":
@@ -55,7 +73,10 @@ def output_of(args: argparse.Namespace) -> str:
 
 
 def build(spark: SparkSession, args: argparse.Namespace) -> tuple[Index, DataFrame]:
-    """Builds, or opens where an index with this codec exists; returns it with the documents."""
+    """Builds, or opens where an index with this codec exists; returns it with the documents.
+
+    The documents are read again only for snippets: the index knows their names.
+    """
     docs = tables.text_collection(spark, args.collection).filter("doc_id is not null")
     path = f"{output_of(args)}/{args.index}"
     if not args.build and os.path.isdir(f"{path}/meta"):
@@ -69,7 +90,32 @@ def build(spark: SparkSession, args: argparse.Namespace) -> tuple[Index, DataFra
         index = Index.of(stored(merge_postings(blocks_of(docs)), "postings"), args.compression)
     else:
         index = Index.build(docs, args.compression)
-    return index.save(path, files=8), docs
+    saved = replace(index, names=docs.select("doc_id", "doc_name")).save(path, files=8)
+    # vectors of the index before are not those of this one
+    shutil.rmtree(vectors_of(args), ignore_errors=True)
+    return saved, docs
+
+
+def vectors_of(args: argparse.Namespace) -> str:
+    return f"{output_of(args)}/{args.index}_vectors"
+
+
+def vectors(spark: SparkSession, args: argparse.Namespace, index: Index) -> lsi.Vectors:
+    """Opens the saved latent vectors, or fits and saves them; a ValueError where the corpus is too small."""
+    path = vectors_of(args)
+    return lsi.Vectors.open(spark, path) if os.path.isdir(f"{path}/sigma") else lsi.fit(index).save(path)
+
+
+def methods_of(spark: SparkSession, args: argparse.Namespace, index: Index) -> dict[str, evaluate.Method]:
+    """The methods asked for; without --metric adaptive a corpus too small for it leaves it out."""
+    methods = evaluate.lexical_methods(index)
+    if args.metric in ("adaptive", "all"):
+        try:
+            methods["adaptive"] = evaluate.adaptive_method(index, vectors(spark, args, index))
+        except ValueError as error:
+            if args.metric == "adaptive":
+                print(error)
+    return {m: method for m, method in methods.items() if args.metric in (m, "all")}
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -79,23 +125,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     index, docs = build(spark, args)
     texts = [args.query] if args.query else list(DEFAULT_QUERIES)
     queries = spark.createDataFrame([(f"Q{i + 1}", t) for i, t in enumerate(texts)], "qid string, text string")
-    wanted = list(TITLES) if args.metric == "all" else [args.metric]
-    found = {}
-    for metric in wanted:
-        if metric == "adaptive":
-            try:
-                fitted = lsi.fit(index)
-            except ValueError as error:
-                if args.metric == "adaptive":
-                    print(error)
-                continue
-            lexical = ranking.bm25_pruned(index, queries, hybrid.DEPTH)
-            semantic = lsi.semantic_top(fitted.docs, lsi.query_vectors(fitted, queries), hybrid.DEPTH)
-            found[metric] = hybrid.fuse(lexical, semantic, queries, SHOWN)
-        else:
-            method = {"tfidf": ranking.tfidf, "bm25": ranking.bm25, "wand": ranking.bm25_pruned}[metric]
-            found[metric] = method(index, queries, SHOWN)
-    shown = {m: show(hits, docs, queries, args.snippets) for m, hits in found.items()}
+    found = {m: method(queries, SHOWN) for m, method in methods_of(spark, args, index).items()}
+    shown = {m: show(hits, index.names if index.names is not None else docs, docs, queries, args.snippets) for m, hits in found.items()}
     for i, text in enumerate(texts):
         print(f"\n{'=' * 60}\nQuery: {text}\n{'=' * 60}")
         for metric, lines in shown.items():
@@ -104,10 +135,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
                 print(line)
 
 
-def show(hits: DataFrame, docs: DataFrame, queries: DataFrame, with_snippets: bool) -> dict[str, list[str]]:
+def line_of(name: str = "doc_name", score: str = "score"):
+    """One line of a result."""
+    return F.format_string("  %-45s %8.4f", name, score)
+
+
+def show(hits: DataFrame, names: DataFrame, docs: DataFrame, queries: DataFrame, with_snippets: bool) -> dict[str, list[str]]:
     """The few lines that are printed, per query."""
     hits = stored(hits, "hits")
-    rows = hits.join(docs.select("doc_id", "doc_name"), "doc_id").withColumn("line", F.format_string("  %-45s %8.4f", "doc_name", "score"))
+    rows = hits.join(names.select("doc_id", "doc_name"), "doc_id").withColumn("line", line_of())
     rows = rows.join(snippets.snippets(hits, docs, queries, marks=snippets.ANSI), ["qid", "doc_id"]) if with_snippets else rows.withColumn("snippet", F.lit(None).cast("string"))
     out: dict[str, list[str]] = {}
     for row in rows.orderBy("qid", "rank").select("qid", "line", "snippet").collect():
@@ -115,11 +151,23 @@ def show(hits: DataFrame, docs: DataFrame, queries: DataFrame, with_snippets: bo
     return out
 
 
+def run_evaluation(spark: SparkSession, args: argparse.Namespace) -> None:
+    for notice in notices(args):
+        print(f"Warning: {notice}")
+    index, _ = build(spark, args)
+    queries, qrels = stored(tables.query_file(spark, args.queries), "queries"), stored(tables.qrels_file(spark, args.qrels), "qrels")
+    print(f"{'method':<10} {'RBP':>8} {'DCG':>8} {'NDCG':>8} {'AP':>8} {'seconds':>9}")
+    for row in evaluate.timed(methods_of(spark, args, index), queries, qrels, args.depth):
+        print(f"{row['method']:<10} " + " ".join(f"{row['mean_' + m]:8.4f}" for m in ("rbp", "dcg", "ndcg", "ap")) + f" {row['seconds']:9.3f}")
+
+
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    argv = sys.argv[1:] if argv is None else argv
+    evaluating = argv[:1] == ["evaluate"]
+    args = evaluation_parser().parse_args(argv[1:]) if evaluating else parser().parse_args(argv)
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
-    run(spark, args)
+    (run_evaluation if evaluating else run)(spark, args)
     return 0
 
 

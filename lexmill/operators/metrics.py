@@ -61,6 +61,15 @@ def ap_full(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
     return gained.join(total, "qid", "left").select("qid", F.coalesce(F.when(F.col("r") > 0, F.col("g") / F.col("r")), F.lit(0.0)).alias("ap_full"))
 
 
+def ndcg_full(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
+    """As ``ndcg``, over the best order of all judged documents of the query, retrieved or not."""
+    order = W.partitionBy("qid").orderBy(F.desc("rel"), F.asc("doc_id"))
+    once = qrels.groupBy("qid", "doc_id").agg(F.max("rel").alias("rel")).filter("rel > 0")
+    ideal = once.withColumn("best", F.row_number().over(order)).groupBy("qid").agg(_discounted("best").alias("i"))
+    gained = ranking.groupBy("qid").agg(F.coalesce(_discounted("rank"), F.lit(0.0)).alias("d"))
+    return gained.join(ideal, "qid", "left").select("qid", F.coalesce(F.when(F.col("i") > 0, F.col("d") / F.col("i")), F.lit(0.0)).alias("ndcg_full"))
+
+
 def all_metrics(ranking: DataFrame) -> DataFrame:
     """qid, rbp, dcg, ndcg, ap in one aggregation after two windows over the same partitioning."""
     by = W.partitionBy("qid")

@@ -126,6 +126,9 @@ def test_metrics(spark):
     for f, c in ((metrics.rbp, "rbp"), (metrics.dcg, "dcg"), (metrics.ndcg, "ndcg"), (metrics.ap, "ap")):
         assert {r.qid: round(r[c], 6) for r in f(ranking_).collect()} == {k: round(v[c], 6) for k, v in got.items()}
     assert {r.qid: r.dcg for r in metrics.dcg(ranking_, 2).collect()}["q"] == 1.0
+    qrels = spark.createDataFrame([("q", 1, 1), ("q", 3, 1), ("q", 4, 1), ("q", 9, 1), ("q", 9, 1)], "qid string, doc_id bigint, rel int")
+    full = 1.930677 / sum(1 / math.log2(i + 1) for i in range(1, 5))
+    assert {r.qid: round(r.ndcg_full, 5) for r in metrics.ndcg_full(ranking_, qrels).collect()} == {"q": round(full, 5), "z": 0.0}
 
 
 def test_report_counts_queries_without_hits(spark, toy):
@@ -152,7 +155,7 @@ def test_snippets(spark):
     assert snippets.best_windows(hits, docs, q).filter("doc_id = 2").first().start == 6
 
 
-def test_latent_vectors_match_a_dense_decomposition(spark):
+def test_latent_vectors_match_a_dense_decomposition(spark, tmp_path):
     import numpy as np
 
     rng = np.random.default_rng(3)
@@ -165,3 +168,15 @@ def test_latent_vectors_match_a_dense_decomposition(spark):
     assert all(math.isclose(sum(x * x for x in r.vec), 1, rel_tol=1e-9) for r in fitted.docs.collect())
     near = lsi.semantic_top(fitted.docs, lsi.query_vectors(fitted, ask(spark, "bq cq", "zzz")), 3)
     assert [r.doc_id for r in near.filter("qid = 'Q1'").orderBy("rank").collect()] == [0, 1, 2]
+    saved = fitted.save(str(tmp_path / "vectors"))
+    assert saved.sigma == fitted.sigma and rows(saved.docs) == rows(fitted.docs) and rows(saved.terms) == rows(fitted.terms)
+
+
+def test_queries_in_blocks_equal_queries_sent_to_all(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, rng.standard_normal(6).tolist()) for i in range(300)], "doc_id bigint, vec array<double>")
+    queries = spark.createDataFrame([(f"q{i}", rng.standard_normal(6).tolist()) for i in range(50)], "qid string, vec array<double>")
+    assert rows(lsi.semantic_top(docs, queries, 5)) == rows(lsi.semantic_top(docs, queries, 5, block=7))
+    assert lsi.semantic_top(docs, queries.limit(0), 5).count() == 0 and lsi.semantic_top(docs.limit(0), queries, 5, block=7).count() == 0

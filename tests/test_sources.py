@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lexmill import cli
@@ -61,3 +63,25 @@ def test_command_line(spark, collection, tmp_path, capsys):
     args = cli.parser().parse_args(["dog", "--collection", collection, "--output", str(tmp_path / "ix"), "--metric", "bm25", "--compression", "elias"])
     cli.run(spark, args)
     assert "rebuilding" in capsys.readouterr().out
+
+
+def test_evaluation_command(spark, tmp_path, capsys):
+    rng = random.Random(2)
+    words = [a + b for a in "bcdfg" for b in ("arn", "elt", "ism", "ool")]
+    for i in range(40):
+        (tmp_path / "c" / str(i % 3)).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "c" / str(i % 3) / f"{i}.txt").write_text(" ".join(rng.choice(words) for _ in range(30)))
+    (tmp_path / "q").write_text("Q1 barn celt\nQ2 fool\n")
+    (tmp_path / "r").write_text("Q1 3\nQ1 4\nQ2 7\n")
+    args = ["--queries", str(tmp_path / "q"), "--qrels", str(tmp_path / "r"), "--collection", str(tmp_path / "c"), "--output", str(tmp_path / "ix"), "--depth", "20"]
+    cli.run_evaluation(spark, cli.evaluation_parser().parse_args(args))
+    said = capsys.readouterr().out
+    assert [line.split()[0] for line in said.strip().splitlines()[-4:]] == ["tfidf", "bm25", "wand", "adaptive"]
+    # the second run opens the index and the vectors that the first one saved
+    fit, cli.lsi.fit = cli.lsi.fit, None
+    try:
+        cli.run_evaluation(spark, cli.evaluation_parser().parse_args([*args, "--metric", "adaptive"]))
+    finally:
+        cli.lsi.fit = fit
+    again = capsys.readouterr().out.strip().splitlines()
+    assert again[-1].split()[:5] == said.strip().splitlines()[-1].split()[:5] and len(again) == 2
