@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.codecs import CODECS
+from lexmill.functions.scoring import result_line
 from lexmill.operators import lsi, snippets
 from lexmill.operators.index import Index, merge_postings
 from lexmill.operators.index import block_postings as blocks_of
@@ -135,15 +136,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
                 print(line)
 
 
-def line_of(name: str = "doc_name", score: str = "score"):
-    """One line of a result."""
-    return F.format_string("  %-45s %8.4f", name, score)
-
-
 def show(hits: DataFrame, names: DataFrame, docs: DataFrame, queries: DataFrame, with_snippets: bool) -> dict[str, list[str]]:
     """The few lines that are printed, per query."""
     hits = stored(hits, "hits")
-    rows = hits.join(names.select("doc_id", "doc_name"), "doc_id").withColumn("line", line_of())
+    rows = hits.join(names.select("doc_id", "doc_name"), "doc_id").withColumn("line", result_line())
     rows = rows.join(snippets.snippets(hits, docs, queries, marks=snippets.ANSI), ["qid", "doc_id"]) if with_snippets else rows.withColumn("snippet", F.lit(None).cast("string"))
     out: dict[str, list[str]] = {}
     for row in rows.orderBy("qid", "rank").select("qid", "line", "snippet").collect():

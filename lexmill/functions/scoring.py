@@ -42,3 +42,8 @@ def lsi_weight(tf: Column, df: Column, n: Column) -> Column:
 def min_max(score: Column, low: Column, high: Column) -> Column:
     """(score - low) / range, the range being at least 1e-5, so a single value becomes 0."""
     return (score - low) / F.greatest(high - low, F.lit(1e-5))
+
+
+def result_line(name: str = "doc_name", score: str = "score") -> Column:
+    """One line of a result, as it is printed."""
+    return F.format_string("  %-45s %8.4f", F.col(name), F.col(score))

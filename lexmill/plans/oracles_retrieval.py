@@ -1,6 +1,25 @@
 """SQL of the retrieval queries: common table expressions for texts, stems and statistics, then one query each."""
 
-from lexmill.functions.text import STEP2, STEP3, STEP4, STOPWORDS
+# Fixed values, written here once more so that the SQL takes nothing from the code that it checks: the stop-word
+# list, the suffix tables and their order.
+STOPWORDS = tuple(
+    """a an the and or but in on at to for of with by from is was are were be been being have has had do does did
+    will would could should may might shall can this that these those it its as if not no nor so yet both either
+    neither each few more most other some such than too very just about above after all also am any because before
+    between during he her him his how i into me my our out own same she their them then there they through under
+    until up us we what when where which while who whom why you your""".split()
+)
+STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"),
+    ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
+    ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"),
+    ("iviti", "ive"), ("biliti", "ble"),
+)
+STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+STEP4 = (
+    "ement", "ment", "ance", "ence", "able", "ible", "ant", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize",
+    "al", "er", "ic",
+)
 
 
 def _suffix_case(rules, least):
@@ -92,6 +111,7 @@ def report(method, m):
 
 
 BASE = base()
+CHUNKS = "placed as (select *, (row_number() over (partition by term order by doc_id) - 1) // 4096 as chunk from post), gaps as (select term, chunk, doc_id, tf, doc_id - lag(doc_id, 1, 0) over (partition by term, chunk order by doc_id) as gap from placed)"
 GAPS = "gaps as (select term, doc_id, tf, doc_id - lag(doc_id, 1, 0) over (partition by term order by doc_id) as gap from post)"
 VBE = "array_to_string(list_transform(range(greatest(1, (length(bin({0})) + 6) // 7) - 1, -1, -1), lambda k: printf('%02X', (({0} >> (7 * k)::bigint) & 127) + case when k = 0 then 128 else 0 end)), '')"
 RAW8 = "array_to_string(list_transform(range(8), lambda k: printf('%02X', ({0} >> (8 * k)::bigint) & 255)), '')"
@@ -99,8 +119,8 @@ GAMMA = "repeat('0', length(bin({0} + 1)) - 1) || bin({0} + 1)"
 
 
 def _hexed(number):
-    return f"""{BASE}, {GAPS} select term, 0::bigint as chunk, string_agg({number.format("gap" if "length(bin" in number else "doc_id")}, '' order by doc_id) as postings_hex,
-        string_agg({number.format("tf")}, '' order by doc_id) as tf_hex from gaps group by term"""
+    return f"""{BASE}, {CHUNKS} select term, chunk, string_agg({number.format("gap" if "length(bin" in number else "doc_id")}, '' order by doc_id) as postings_hex,
+        string_agg({number.format("tf")}, '' order by doc_id) as tf_hex from gaps group by term, chunk"""
 
 
 def _nibbles(bits):
@@ -109,8 +129,8 @@ def _nibbles(bits):
     return f"array_to_string(list_transform(range(length({pad}) // 4), lambda k: substr('0123456789ABCDEF', 1 + 8 * {bit(1)} + 4 * {bit(2)} + 2 * {bit(3)} + {bit(4)}, 1)), '')"
 
 
-LISTS = f"""{BASE} select term, 0::bigint as chunk, count(*) as df, string_agg(doc_id::varchar, ',' order by doc_id) as ids,
-    string_agg(tf::varchar, ',' order by doc_id) as tfs from post group by term"""
+LISTS = f"""{BASE}, {CHUNKS} select term, chunk, count(*) as df, string_agg(doc_id::varchar, ',' order by doc_id) as ids,
+    string_agg(tf::varchar, ',' order by doc_id) as tfs from placed group by term, chunk"""
 ROUND = f"select term, chunk, ids, tfs from ({LISTS})"
 
 FUSION = """with q as (select qid, min(text) as text from queries where qid is not null and text is not null group by qid),
@@ -150,14 +170,14 @@ SQL = {
     "gaps_decoded": f"{BASE} select * from post",
     "standard_hex": _hexed(RAW8),
     "vbe_hex": _hexed(VBE),
-    "elias_hex": f"""{BASE}, {GAPS}, bits as (select term, count(*) as n, string_agg({GAMMA.format("gap")}, '' order by doc_id) as pb,
-        string_agg({GAMMA.format("tf")}, '' order by doc_id) as tb from gaps group by term)
-        select term, 0::bigint as chunk, printf('%08X', n) || {_nibbles("pb")} as postings_hex, printf('%08X', n) || {_nibbles("tb")} as tf_hex from bits""",
+    "elias_hex": f"""{BASE}, {CHUNKS}, bits as (select term, chunk, count(*) as n, string_agg({GAMMA.format("gap")}, '' order by doc_id) as pb,
+        string_agg({GAMMA.format("tf")}, '' order by doc_id) as tb from gaps group by term, chunk)
+        select term, chunk, printf('%08X', n) || {_nibbles("pb")} as postings_hex, printf('%08X', n) || {_nibbles("tb")} as tf_hex from bits""",
     "standard_roundtrip": ROUND,
     "vbe_roundtrip": ROUND,
     "elias_roundtrip": ROUND,
-    "codec_sizes": f"""{BASE}, {GAPS}, per as (select term, count(*) as n, sum((length(bin(gap)) + 6) // 7) as vp, sum((length(bin(tf)) + 6) // 7) as vt,
-        ceil(sum(2 * length(bin(gap + 1)) - 1) / 8) + 4 as gp, ceil(sum(2 * length(bin(tf + 1)) - 1) / 8) + 4 as gt from gaps group by term)
+    "codec_sizes": f"""{BASE}, {CHUNKS}, per as (select term, chunk, count(*) as n, sum((length(bin(gap)) + 6) // 7) as vp, sum((length(bin(tf)) + 6) // 7) as vt,
+        ceil(sum(2 * length(bin(gap + 1)) - 1) / 8) + 4 as gp, ceil(sum(2 * length(bin(tf + 1)) - 1) / 8) + 4 as gt from gaps group by term, chunk)
         select 'standard' as codec, sum(n * 8)::bigint as postings_bytes, sum(n * 8)::bigint as tf_bytes from per
         union all select 'vbe', sum(vp)::bigint, sum(vt)::bigint from per union all select 'elias', sum(gp)::bigint, sum(gt)::bigint from per""",
     "prefix_lookup": f"{BASE} select term, df from terms where starts_with(term, 'brim')",
@@ -203,4 +223,50 @@ SQL = {
     "eval_report": f"""{BASE}, {tfidf(100, "t")}, {bm25(100, name="b")}, {bm25(100, qtf="1", name="w")}, {judged("t", "tj")}, {judged("b", "bj")}, {judged("w", "wj")},
         {metrics("tj", "tm")}, {metrics("bj", "bm")}, {metrics("wj", "wm")} {report("tfidf", "tm")} union all {report("bm25", "bm")} union all {report("wand", "wm")}""",
     "stream_index_blocks": f"{BASE} select * from post",
+    "pruning_stats": f"""{BASE}, idfs as (select term, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from terms cross join st),
+        asked as (select qid, term, idf, 2.2 * idf as ub from qtok join idfs using (term)),
+        gains as (select term, p.doc_id, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avgdl)) as gain from post p join idfs using (term) join lens l on l.doc_id = p.doc_id cross join st
+            where term in (select term from asked)),
+        kth as (select term, gain from gains qualify row_number() over (partition by term order by gain desc) = 10),
+        marked as (select qid, a.term, sum(ub) over (partition by qid order by ub, a.term rows unbounded preceding) >= coalesce(max(gain) over (partition by qid), 0) - 1e-5 as essential
+            from asked a left join kth on kth.term = a.term),
+        met as (select qid, doc_id, bool_or(essential) as kept from gains join marked using (term) group by qid, doc_id)
+        select qid, count(*) as met, count(*) filter (where kept) as kept from met group by qid""",
+    "saved_postings": f"{BASE} select * from post",
+    "saved_lookup": f"{BASE} select * from post where term in ('heart', 'rat', 'human')",
+    "saved_terms": f"""{BASE} select row_number() over (order by term) - 1 as term_id, term, df, cf, round(2.2 * ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as ub from terms cross join st""",
+    "saved_documents": f"""{BASE} select doc_id, doc_name, doc_len from lens join (select doc_id, min(doc_name) as doc_name from collection_docs group by doc_id) using (doc_id)""",
+    "legacy_metadata": """with once as (select block, term, max(df) as df, max(ub) as ub from index_terms where block is not null and term is not null group by 1, 2),
+        per as (select term, sum(df)::bigint as df, max(ub) as ub, count(*) filter (where ub is null) as old from once group by term),
+        n as (select count(distinct doc_id) as n from doc_stats)
+        select term, df, round(case when old > 0 then 2.2 * ln(1 + (n - df + 0.5) / (df + 0.5)) else ub end, 6) as ub from per cross join n""",
+    "document_numbers": r"""select distinct doc_name, nullif(regexp_extract(doc_name, '[\\/](\d+)\.txt$', 1), '')::bigint as number from collection_docs where doc_name is not null""",
+    "result_lines": f"""{BASE}, {bm25(5)}, names as (select doc_id, min(doc_name) as doc_name from collection_docs group by doc_id)
+        select qid, rank, '  ' || rpad(doc_name, greatest(45, length(doc_name))::int, ' ') || ' ' || lpad((score::decimal(18, 6))::decimal(18, 4)::varchar, 8, ' ') as line from run join names using (doc_id)""",
+    "query_file_rows": r"""select qid, array_to_string(regexp_extract_all(min(text), '\S+'), ' ') as text from queries where qid is not null and text is not null group by qid""",
+    "qrels_file_rows": f"{BASE}, {bm25(100)}, {judged()} select qid, doc_id, 1 as rel from judged where rel = 1",
+    "eval_timed": "select unnest(['tfidf', 'bm25', 'wand']) as method, true as timed",
+    "metric_ap_full": f"""{BASE}, {bm25(20)}, {judged()}, rels as (select qid, doc_id from q cross join docs d where contains({PHRASE.format("d")}, {PHRASE.format("q")})),
+        r as (select qid, count(*) as n from rels group by qid), p as (select *, sum(rel) over (partition by qid order by rank) / rank as prec from judged)
+        select p.qid, round(coalesce(sum(prec) filter (where rel = 1) / any_value(n), 0.0), 6) as ap_full from p left join r on r.qid = p.qid group by p.qid""",
+    "metric_ndcg_full": f"""{BASE}, {bm25(20)}, {judged()}, rels as (select qid, doc_id from q cross join docs d where contains({PHRASE.format("d")}, {PHRASE.format("q")})),
+        ideal as (select qid, sum(1 / log2(b + 1)) as i from (select qid, row_number() over (partition by qid order by doc_id) as b from rels) group by qid)
+        select j.qid, round(coalesce({dcg()} / any_value(i), 0.0), 6) as ndcg_full from judged j left join ideal on ideal.qid = j.qid group by j.qid""",
+    "lsi_check": f"""{BASE} select least(100, (select count(*) from terms) - 1, (select count(*) from lens) - 1) as n_sigma, true as falling, true as documents_at_unit_length,
+        true as terms_orthogonal, true as factors_agree""",
+    "lsi_query_norms": f"""{BASE} select q.qid, case when count(t.term) > 0 then 1.0 else 0.0 end as norm from q left join qtok on qtok.qid = q.qid left join terms t on t.term = qtok.term group by q.qid""",
+    "lsi_hits": f"""{BASE} select qid, least(10, (select count(*) from lens)) as n_hits, true as known_documents, true as ordered from q""",
+    "hybrid_hits": f"""{BASE} select qid, least(10, (select count(*) from lens)) as n_hits, true as known_documents, true as ordered from q""",
+}
+
+#: Depth of the evaluation.
+DEPTH = 1000
+SQL |= {
+    f"qrels_join_1000": f"{BASE}, {bm25(DEPTH)}, {judged()} select * from judged",
+    f"metric_rbp_1000": f"{BASE}, {bm25(DEPTH)}, {judged()}, {metrics()} select qid, round(rbp, 6) as rbp from m",
+    f"metric_dcg_1000": f"{BASE}, {bm25(DEPTH)}, {judged()}, {metrics()} select qid, round(dcg, 6) as dcg from m",
+    f"metric_ndcg_1000": f"{BASE}, {bm25(DEPTH)}, {judged()}, {metrics()} select qid, round(ndcg, 6) as ndcg from m",
+    f"metric_ap_1000": f"{BASE}, {bm25(DEPTH)}, {judged()}, {metrics()} select qid, round(ap, 6) as ap from m",
+    f"eval_lexical_1000": f"""{BASE}, {tfidf(DEPTH, "t")}, {bm25(DEPTH, name="b")}, {bm25(DEPTH, qtf="1", name="w")}, {judged("t", "tj")}, {judged("b", "bj")}, {judged("w", "wj")},
+        {metrics("tj", "tm")}, {metrics("bj", "bm")}, {metrics("wj", "wm")} {report("tfidf", "tm")} union all {report("bm25", "bm")} union all {report("wand", "wm")}""",
 }

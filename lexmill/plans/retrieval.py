@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions import vectors
+from lexmill.functions.scoring import result_line as line_of
 from lexmill.functions.text import clean_tokens, raw_tokens, with_stem
 from lexmill.operators import dictionary, hybrid, lsi, metrics, ranking, snippets
 from lexmill.operators import index as ix
 from lexmill.plans import evaluate
-from lexmill.session import shared_folder, spread
+from lexmill.session import shared_folder, spread, stored
 from lexmill.sources import tables
 from lexmill.streaming import blocks
 
@@ -99,14 +102,18 @@ def hybrid_candidates(s, d):
 
 
 def _run(s, d, k: int = 100):
-    return ranking.bm25(_index(s, d), _queries(s, d), k)
+    """BM25 results, ranked once: what follows reads them several times."""
+    return stored(ranking.bm25(_index(s, d), _queries(s, d), k), "run")
 
 
-def _judged(s, d, k: int = 100):
-    run = _run(s, d, k)
+def _judged_run(s, d, run):
     return metrics.judged(run, evaluate.verbatim(run, _docs(s, d), _queries(s, d)))
 
 
+def _judged(s, d, k: int = 100):
+    return _judged_run(s, d, _run(s, d, k))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -120,8 +127,8 @@ def eval_report(s, d, k: int = 100, adaptive: bool = False):
     methods = evaluate.lexical_methods(index)
     if adaptive:
         methods["adaptive"] = evaluate.adaptive_method(index, lsi.fit(index))
-    ranked = {name: method(queries, k) for name, method in methods.items()}
-    rankings = {name: metrics.judged(run, evaluate.verbatim(run, _docs(s, d), queries)) for name, run in ranked.items()}
+    ranked = {name: stored(method(queries, k), "run") for name, method in methods.items()}
+    rankings = {name: _judged_run(s, d, run) for name, run in ranked.items()}
     return _rounded(metrics.report(queries, rankings), *[f"mean_{m}" for m in ("rbp", "dcg", "ndcg", "ap")])
 
 
@@ -145,6 +152,95 @@ def hybrid_topk(s, d):
     return evaluate.adaptive_method(index, lsi.fit(index))(_queries(s, d), 10)
 
 
+def _named(s, d) -> DataFrame:
+    """doc_id, doc_name of the collection."""
+    return tables.table(s, d, "collection_docs").filter("doc_id is not null").groupBy("doc_id").agg(F.min("doc_name").alias("doc_name"))
+
+
+def _saved(s, d) -> ix.Index:
+    """The index written as tables and opened again."""
+    built = _index(s, d)
+    path = f"{shared_folder(s)}/saved-{uuid.uuid4().hex}"
+    replace(built, names=_named(s, d)).save(path, files=8)
+    return ix.Index.open(s, path, built.codec)
+
+
+def legacy_metadata(s, d):
+    n = tables.table(s, d, "doc_stats").filter("doc_id is not null").agg(F.countDistinct("doc_id").alias("n")).scalar()
+    return _rounded(ix.block_metadata(tables.table(s, d, "index_terms"), n), "ub")
+
+
+def document_numbers(s, d):
+    names = tables.table(s, d, "collection_docs").select("doc_name").filter("doc_name is not null").distinct()
+    return names.withColumn("number", tables.document_number(F.col("doc_name")))
+
+
+def result_lines(s, d):
+    """The five best documents of every query as they are printed."""
+    return _run(s, d, 5).join(_named(s, d), "doc_id").select("qid", "rank", line_of().alias("line"))
+
+
+def _file(s, lines: DataFrame) -> str:
+    path = f"{shared_folder(s)}/lines-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+def query_file_rows(s, d):
+    """The queries written as lines of a file and read again."""
+    lines = _queries(s, d).select(F.concat_ws(" ", "qid", F.regexp_replace("text", "\\s+", " ")))
+    return tables.query_file(s, _file(s, lines))
+
+
+def qrels_file_rows(s, d):
+    """Judgements written as lines of a file and read again."""
+    return tables.qrels_file(s, _file(s, _judged(s, d).filter("rel = 1").select(F.concat_ws(" ", "qid", "doc_id"))))
+
+
+def eval_timed(s, d):
+    """Whether the timed evaluation of each lexical method took any time."""
+    run = _judged(s, d).filter("rel = 1").select("qid", "doc_id", "rel")
+    report = evaluate.timed(evaluate.lexical_methods(_index(s, d)), _queries(s, d), stored(run, "qrels"), 100)
+    return s.createDataFrame([(r["method"], r["seconds"] > 0) for r in report], "method string, timed boolean")
+
+
+def _all_judgements(s, d):
+    pairs = _queries(s, d).select("qid", F.lit(1).alias("all")).join(_docs(s, d).select("doc_id", F.lit(1).alias("all")), "all")
+    return evaluate.verbatim(pairs, _docs(s, d), _queries(s, d))
+
+
+def lsi_check(s, d):
+    """Properties that the factors of the decomposition must have, whatever their signs: n_sigma, whether they fall,
+    documents of unit length, orthogonal term vectors (scaled by the singular values), and vectors of terms that
+    the matrix maps onto those of documents."""
+    index = _index(s, d)
+    fitted = lsi.fit(index)
+    n = len(fitted.sigma)
+    sigma = np.array(fitted.sigma)
+    gram = lsi._gram(fitted.terms, n) * sigma[:, None] * sigma[None, :]
+    lengths = fitted.docs.select((F.abs(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)) - 1) > 1e-6).alias("off")).filter("off").count()
+    # the document vectors before they are scaled to unit length are the matrix times the term vectors
+    mapped = lsi._times(ranking.weight_matrix(index), fitted.terms, "term", "doc_id").select("doc_id", F.col("vec").alias("mapped"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    scaled = mapped.withColumn("mapped", F.zip_with("mapped", F.array(*[F.lit(float(x)) for x in sigma]), lambda a, b: a * b))
+    cosine = fitted.docs.join(scaled, "doc_id").select(F.min(dot("vec", "mapped") / F.sqrt(dot("mapped", "mapped"))).alias("c")).first()["c"]
+    row = (n, bool((np.diff(sigma) <= 1e-9).all()), lengths == 0, bool(np.abs(gram - np.eye(n)).max() < 1e-6), cosine > 1 - 1e-6)
+    return s.createDataFrame([row], "n_sigma bigint, falling boolean, documents_at_unit_length boolean, terms_orthogonal boolean, factors_agree boolean")
+
+
+def lsi_query_norms(s, d):
+    vecs = lsi.query_vectors(lsi.fit(_index(s, d)), _queries(s, d))
+    return vecs.select("qid", F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+def _hits(s, d, top: DataFrame) -> DataFrame:
+    """qid, n_hits, whether all hits are documents of the index, and whether they come in order."""
+    known = _index(s, d).docs.select("doc_id", F.lit(True).alias("known"))
+    before = F.lag("score").over(W.partitionBy("qid").orderBy("rank"))
+    rows = top.join(known, "doc_id", "left").withColumn("up", F.col("score") > before)
+    return rows.groupBy("qid").agg(F.count("*").alias("n_hits"), F.coalesce(F.min("known"), F.lit(False)).alias("known_documents"), (~F.coalesce(F.max("up"), F.lit(False))).alias("ordered"))
+
+
 def stream_index_blocks(s, d):
     """The merged index of a stream that delivers the files of the collection."""
     source = tables.table(s, d, "collection_docs")
@@ -217,6 +313,23 @@ QUERIES = {
     "metric_ndcg_1000": lambda s, d: _rounded(metrics.ndcg(_judged(s, d, EVALUATED)), "ndcg"),
     "metric_ap_1000": lambda s, d: _rounded(metrics.ap(_judged(s, d, EVALUATED)), "ap"),
     "eval_report_1000": lambda s, d: eval_report(s, d, EVALUATED, adaptive=True),
+    "eval_lexical_1000": lambda s, d: eval_report(s, d, EVALUATED),
+    "eval_timed": eval_timed,
+    "metric_ap_full": lambda s, d: _rounded(metrics.ap_full(_judged(s, d, 20), _all_judgements(s, d)), "ap_full"),
+    "metric_ndcg_full": lambda s, d: _rounded(metrics.ndcg_full(_judged(s, d, 20), _all_judgements(s, d)), "ndcg_full"),
+    "saved_postings": lambda s, d: _saved(s, d).postings,
+    "saved_lookup": lambda s, d: _saved(s, d).lookup("heart", "rat", "human"),
+    "saved_terms": lambda s, d: _rounded(_saved(s, d).terms, "ub").select("term_id", "term", "df", "cf", "ub"),
+    "saved_documents": lambda s, d: (lambda index: index.docs.join(index.names, "doc_id"))(_saved(s, d)),
+    "legacy_metadata": legacy_metadata,
+    "document_numbers": document_numbers,
+    "result_lines": result_lines,
+    "query_file_rows": query_file_rows,
+    "qrels_file_rows": qrels_file_rows,
+    "lsi_check": lsi_check,
+    "lsi_query_norms": lsi_query_norms,
+    "lsi_hits": lambda s, d: _hits(s, d, lsi_topk(s, d)),
+    "hybrid_hits": lambda s, d: _hits(s, d, hybrid_topk(s, d)),
     "lsi_singular_values": lsi_singular_values,
     "lsi_topk": lsi_topk,
     "hybrid_topk": hybrid_topk,
