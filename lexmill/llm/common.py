@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,18 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         held += len(text)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+class Memo(dict):
+    """What ``learn`` says of a string, asked once for each different one; ``of`` many of them at once."""
+
+    def __init__(self, learn: Callable[[str], int]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key: str) -> int:
+        value = self[key] = self.learn(key)
+        return value
+
+    def of(self, flat: list[str], kind) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, flat), kind, len(flat))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import chunks
+from lexmill.llm.common import Memo, chunks
 from lexmill.session import discard, stored, task_count
 
 #: Bands and rows of a band: at a similarity of 0.6 a pair is missed with probability (1 - 0.6^4)^56 = 0.0004,
@@ -126,20 +127,15 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.memo: dict[str, int] = {}
-
-    def _learn(self, word: str) -> int:
-        h = self.memo[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        self.memo = Memo(xxhash.xxh3_64_intdigest)
 
     def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and hashes of the sets of lower-cased texts; those of shorter texts are empty."""
         if len(self.memo) > _HELD:
             self.memo.clear()
-        get, learn = self.memo.get, self._learn
         words = [_WORD.findall(t) for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
-        flat = np.fromiter((get(w) or learn(w) for ws in words for w in ws), np.uint64, int(sizes.sum()))
+        flat = self.memo.of(list(itertools.chain.from_iterable(words)), np.uint64)
         runs = np.maximum(sizes - self.width + 1, 0)
         owner, nth = _expand(runs)
         at = (np.cumsum(sizes) - sizes)[owner] + nth
