@@ -104,7 +104,7 @@ def pruned_terms(index: Index, queries: DataFrame, k: int = 10, k1: float = scor
     Terms are non-essential as long as their bounds, the least first, add up to less: a document that holds
     no other term can't be among the k best.
     """
-    asked = stored(_bm25_terms(index, queries, True, k1), "bounds")
+    asked = _bm25_terms(index, queries, True, k1)
     gains = stored(_term_gains(index, asked.select("term", "idf").distinct(), k1, b), "gains")
     # the k best of each term are cut within each task before the shuffle
     best = gains.withColumn("n", F.row_number().over(W.partitionBy("term").orderBy(F.desc("gain")))).filter(F.col("n") <= k)
