@@ -17,8 +17,8 @@ from lexmill.session import discard, stored, task_count
 DAMPING = 0.85
 #: The walk has settled when no item's mass changes by more than this share of it (or of the mean, if that is more)...
 SETTLED = 1e-13
-#: ... which it must within so many rounds: changes shrink at least by DAMPING a round.
-MOST_ROUNDS = 300
+#: ... which it must within so many rounds: changes shrink at least by DAMPING a round, so they do for any size of group.
+MOST_ROUNDS = 400
 #: Groups up to so many items are walked within one task; larger ones by distributed prefix sums.
 LOCAL = 1_000_000
 #: Items of a large group that are summed up together.
