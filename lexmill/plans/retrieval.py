@@ -205,7 +205,11 @@ def eval_timed(s, d):
 
 
 def _all_judgements(s, d):
-    pairs = _queries(s, d).select("qid", F.lit(1).alias("all")).join(_docs(s, d).select("doc_id", F.lit(1).alias("all")), "all")
+    """Judgements of all documents: those that hold a query's longest word are looked at."""
+    cut = lambda: F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    longest = F.array_max(F.transform(cut(), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    held = _docs(s, d).select("doc_id", F.explode(F.array_distinct(cut())).alias("word"))
+    pairs = held.join(_queries(s, d).select("qid", longest.alias("word")), "word").select("qid", "doc_id")
     return evaluate.verbatim(pairs, _docs(s, d), _queries(s, d))
 
 
