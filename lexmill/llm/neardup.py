@@ -45,7 +45,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 #: Number of darts, Poisson distributed with mean 1, by the first 16 bits of a square's hash.
-_POISSON = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(n) for n in range(16)]), np.arange(1 << 16) / 65536, side="right")
+_POISSON = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(n) for n in range(16)]), np.arange(1 << 16) / 65536, side="right").astype(np.int8)
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 
 
@@ -56,6 +56,15 @@ def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - start
 
 
+def _rank(row: np.ndarray, dart: np.ndarray) -> np.ndarray:
+    """Height of darts in their squares' row; of a dart's bits these are the ones that decide nothing else."""
+    return row + ((dart >> _U(8)) & _U(0xFFFFFFFF)).astype(np.float64) * 2.0**-32
+
+
+def _squares(element: np.ndarray, column: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return _mix(element + _mix((column << 32).astype(np.uint64) + row.astype(np.uint64) + _U(1)))
+
+
 def _darts(element: np.ndarray, weight: np.ndarray, high: np.ndarray):
     """Darts that land in each element's region [0, weight] x [0, high].
 
@@ -63,20 +72,32 @@ def _darts(element: np.ndarray, weight: np.ndarray, high: np.ndarray):
     places being hashes of (element, square), so that records with the element see the same darts. Returns the
     element's place, the rank (height) and the dart's hash.
     """
+    if (weight == 1).all():
+        return _unit_darts(element, int(high.max(initial=1)))
     wide = np.ceil(weight).astype(np.int64)
     owner, at = _expand(wide * high)
-    flat = (wide == 1).all()
-    column, row = (np.zeros(1, np.int64), at) if flat else (at % wide[owner], at // wide[owner])
-    square = _mix(element[owner] + _mix((column << 32).astype(np.uint64) + row.astype(np.uint64) + _U(1)))
-    many = _POISSON[square >> _U(48)]
-    hits, nth = _expand(many)
+    column, row = at % wide[owner], at // wide[owner]
+    square = _squares(element[owner], column, row)
+    hits, nth = _expand(_POISSON[square >> _U(48)])
     dart = _mix(square[hits] + (nth.astype(np.uint64) + _U(1)) * _GOLDEN)
-    rank = row[hits] + ((dart >> _U(8)) & _U(0xFFFFFFFF)).astype(np.float64) * 2.0**-32
     source = owner[hits]
-    if flat and (weight == 1).all():
-        return source, rank, dart
-    inside = (0 if flat else column[hits]) + _unit(_mix(dart ^ _U(0xA5A5A5A5A5A5A5A5))) <= weight[source]
-    return source[inside], rank[inside], dart[inside]
+    inside = column[hits] + _unit(_mix(dart ^ _U(0xA5A5A5A5A5A5A5A5))) <= weight[source]
+    return source[inside], _rank(row[hits], dart)[inside], dart[inside]
+
+
+def _unit_darts(element: np.ndarray, high: int):
+    """The same for elements of weight 1, all as high as the highest: what lies deeper than asked for changes nothing.
+
+    Squares form a matrix, so that nothing is repeated or looked up square by square.
+    """
+    rows = np.arange(high)
+    square = _squares(element[:, None], np.zeros(1, np.int64), rows[None, :]).ravel()
+    many = _POISSON[square >> _U(48)]
+    found = [np.flatnonzero(many > nth) for nth in range(int(many.max(initial=0)))]
+    hits = np.concatenate([*found, np.zeros(0, np.int64)])
+    dart = np.concatenate([*[_mix(square[at] + np.array([nth + 1], np.uint64) * _GOLDEN) for nth, at in enumerate(found)], np.zeros(0, np.uint64)])
+    source = hits // high
+    return source, _rank(hits - source * high, dart), dart
 
 
 def dart_signatures(offsets: np.ndarray, elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
@@ -98,7 +119,8 @@ def dart_signatures(offsets: np.ndarray, elements: np.ndarray, weights: np.ndarr
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     while len(todo):
         again = []
-        # slices of records, each with a bounded number of squares
+        # slices of records of like depth, each with a bounded number of squares
+        todo = todo[np.argsort(depth[todo], kind="stable")]
         group = (np.cumsum(wide[todo] * depth[todo]) // SLICE).astype(np.int64)
         for part in np.split(todo, np.flatnonzero(np.diff(group)) + 1):
             count = sizes[part]
