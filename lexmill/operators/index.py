@@ -58,6 +58,8 @@ def corpus_statistics(lengths: DataFrame) -> DataFrame:
 
 #: Of the layout of saved indexes.
 VERSION = 2
+#: Depths of rankings that an index holds thresholds for; a depth between two takes those of the larger one.
+DEPTHS = (10, 100, 1000)
 
 
 def block_metadata(rows: DataFrame, n_docs: Column, k1: float = scoring.K1) -> DataFrame:
@@ -82,6 +84,8 @@ class Index:
     docs: DataFrame
     codec: str = "vbe"
     names: DataFrame | None = None
+    #: term, kth_<depth>: see ``term_thresholds``; made when an index is cached or saved
+    thresholds: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
@@ -102,6 +106,26 @@ class Index:
             "term", "df", "cf", scoring.tfidf_idf(F.col("df"), n).alias("idf_tfidf"), idf.alias("idf_bm25"), scoring.bm25_bound(idf, k1).alias("ub")
         )
 
+    def gains(self, terms: DataFrame, k1: float = scoring.K1, b: float = scoring.B) -> DataFrame:
+        """term, doc_id, gain of distinct terms(term, idf) in each of their documents; a missing length counts as average.
+
+        Gains depend on no query, so a term that many queries ask for meets the lengths once.
+        """
+        avgdl = self.avgdl()
+        hits = self.postings.join(terms, "term").join(self.docs, "doc_id", "left")
+        tf = scoring.bm25_tf(F.col("tf"), F.coalesce(F.col("doc_len").cast("double"), avgdl), avgdl, k1, b)
+        return hits.select("term", "doc_id", (F.col("idf") * tf).alias("gain"))
+
+    def term_thresholds(self) -> DataFrame:
+        """term, kth_<depth> for each of DEPTHS: the term's gain in its k-th best document, null with fewer documents.
+
+        The best of each term are cut within each task before the shuffle.
+        """
+        idf = scoring.bm25_idf(F.col("df"), self.n_docs()).alias("idf")
+        rank = F.row_number().over(W.partitionBy("term").orderBy(F.desc("gain")))
+        best = self.gains(self.terms.select("term", idf)).withColumn("n", rank).filter(F.col("n") <= DEPTHS[-1])
+        return best.groupBy("term").agg(*[F.max(F.when(F.col("n") == k, F.col("gain"))).alias(f"kth_{k}") for k in DEPTHS])
+
     def lookup(self, *terms: str) -> DataFrame:
         """Postings of a few terms; on a saved index the filter reaches the row groups of the term-sorted files."""
         return self.postings.filter(F.col("term").isin(*terms))
@@ -117,7 +141,7 @@ class Index:
         postings = self.postings.repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id")
         postings.write.mode("overwrite").parquet(f"{path}/postings")
         written = Index.of(spark.read.parquet(f"{path}/postings"), self.codec)
-        terms = written.weighted_terms().select("term", "df", "cf", "ub").join(dense_ids(written.terms, "term", "term_id"), "term")
+        terms = written.weighted_terms().select("term", "df", "cf", "ub").join(dense_ids(written.terms, "term", "term_id"), "term").join(written.term_thresholds(), "term", "left")
         terms = terms.repartitionByRange(max(1, files // 8), "term").sortWithinPartitions("term")
         terms.write.mode("overwrite").parquet(f"{path}/terms")
         written.docs.write.mode("overwrite").parquet(f"{path}/docs")
@@ -138,6 +162,9 @@ class Index:
             raise ValueError(f"index was saved with codec {meta['codec']}, not {codec}")
         names = spark.read.parquet(f"{path}/names") if meta.get("named") else None
         index = Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "docs")), codec=meta["codec"], names=names)
+        kth = [f"kth_{k}" for k in DEPTHS]
+        if set(kth) <= set(index.terms.columns):
+            index = replace(index, terms=index.terms.drop(*kth), thresholds=index.terms.select("term", *kth))
         if "ub" in index.terms.columns:
             return index
         return replace(index, terms=index.weighted_terms().select("term", "df", "cf", "ub"))
@@ -159,7 +186,8 @@ class Index:
 
     def cached(self) -> Index:
         """The relations held in memory and on disk for a series of query batches."""
-        return replace(self, postings=self.postings.persist(), terms=self.terms.persist(), docs=self.docs.persist())
+        held = replace(self, postings=self.postings.persist(), terms=self.terms.persist(), docs=self.docs.persist())
+        return replace(held, thresholds=(held.term_thresholds() if self.thresholds is None else self.thresholds).persist())
 
 
 # --- postings lists ------------------------------------------------------------------------------------------

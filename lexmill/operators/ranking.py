@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import scoring
 from lexmill.functions.text import clean_tokens
-from lexmill.operators.index import Index
+from lexmill.operators.index import DEPTHS, Index
 from lexmill.session import stored
 
 #: Digits that scores are rounded to before they are ranked, so that summation order can't change an order.
@@ -57,20 +57,9 @@ def tfidf_scores(index: Index, queries: DataFrame) -> DataFrame:
     return _accumulated(hits.select("qid", "doc_id", (F.col("qtf") * F.col("idf") * scoring.tf_weight(F.col("tf"))).alias("gain")))
 
 
-def _term_gains(index: Index, terms: DataFrame, k1: float, b: float) -> DataFrame:
-    """term, doc_id, gain of distinct terms(term, idf) in each of their documents; a missing length counts as average.
-
-    Gains depend on no query, so a term that many queries ask for meets the lengths once.
-    """
-    avgdl = index.avgdl()
-    hits = index.postings.join(terms, "term").join(index.docs, "doc_id", "left")
-    tf = scoring.bm25_tf(F.col("tf"), F.coalesce(F.col("doc_len").cast("double"), avgdl), avgdl, k1, b)
-    return hits.select("term", "doc_id", (F.col("idf") * tf).alias("gain"))
-
-
 def _gains(index: Index, terms: DataFrame, k1: float, b: float) -> DataFrame:
     """qid, doc_id, gain of each query term in each of its documents."""
-    hits = _term_gains(index, terms.select("term", "idf").distinct(), k1, b).join(terms.select("qid", "term", "qtf"), "term")
+    hits = index.gains(terms.select("term", "idf").distinct(), k1, b).join(terms.select("qid", "term", "qtf"), "term")
     return hits.select("qid", "doc_id", (F.col("qtf") * F.col("gain")).alias("gain"))
 
 
@@ -105,10 +94,16 @@ def pruned_terms(index: Index, queries: DataFrame, k: int = 10, k1: float = scor
     no other term can't be among the k best.
     """
     asked = _bm25_terms(index, queries, True, k1)
-    gains = stored(_term_gains(index, asked.select("term", "idf").distinct(), k1, b), "gains")
-    # the k best of each term are cut within each task before the shuffle
-    best = gains.withColumn("n", F.row_number().over(W.partitionBy("term").orderBy(F.desc("gain")))).filter(F.col("n") <= k)
-    kth = best.groupBy("term").agg(F.min("gain").alias("kth"), F.count("*").alias("n")).filter(F.col("n") == k)
+    gains = index.gains(asked.select("term", "idf").distinct(), k1, b)
+    depth = next((d for d in DEPTHS if d >= k), None)
+    if index.thresholds is not None and depth and (k1, b) == (scoring.K1, scoring.B):
+        # the gain at a greater depth is less, so that it is a threshold as well
+        kth = index.thresholds.select("term", F.col(f"kth_{depth}").alias("kth"))
+    else:
+        gains = stored(gains, "gains")
+        # the k best of each term are cut within each task before the shuffle
+        best = gains.withColumn("n", F.row_number().over(W.partitionBy("term").orderBy(F.desc("gain")))).filter(F.col("n") <= k)
+        kth = best.groupBy("term").agg(F.min("gain").alias("kth"), F.count("*").alias("n")).filter(F.col("n") == k)
     theta = F.max("kth").over(W.partitionBy("qid"))
     upto = F.sum("ub").over(W.partitionBy("qid").orderBy("ub", "term").rowsBetween(W.unboundedPreceding, W.currentRow))
     slack = 10 ** -(DIGITS - 1)

@@ -60,7 +60,9 @@ def test_pruning_leaves_out_documents_of_common_terms(spark, toy):
     docs = [(i, "x", "rare common" if i < 30 else "common word") for i in range(400)]
     ix = index.Index.build(spark.createDataFrame(docs, "doc_id bigint, block string, text string"))
     q = ask(spark, "rare common")
-    assert rows(ranking.pruning_statistics(ix, q, 10)) == [("Q0", 400, 30)]
+    for known in (ix, ix.cached()):
+        assert rows(ranking.pruning_statistics(known, q, 10)) == [("Q0", 400, 30)]
+        assert rows(ranking.bm25(ix, q, 7, dedup=True)) == rows(ranking.bm25_pruned(known, q, 7))
     assert rows(ranking.bm25(ix, q, 10, dedup=True)) == rows(ranking.bm25_pruned(ix, q, 10))
 
 
@@ -85,6 +87,8 @@ def test_save_and_open(spark, toy, tmp_path):
     saved = toy.save(str(tmp_path / "ix"), files=2)
     assert rows(saved.postings) == rows(toy.postings) and rows(saved.lookup("cat")) == [("cat", 1, 2)]
     assert [(r.term_id, r.term, round(r.ub, 6)) for r in saved.terms.orderBy("term_id").collect()][1] == (1, "cat", 2.157824)
+    assert saved.thresholds.count() == 4 and "kth_10" not in saved.terms.columns
+    assert rows(ranking.bm25_pruned(saved, ask(spark, "cat dog"), 1)) == rows(ranking.bm25(toy, ask(spark, "cat dog"), 1))
     assert rows(ranking.bm25(saved, ask(spark, "cat dog"))) == rows(ranking.bm25(toy, ask(spark, "cat dog")))
     with pytest.raises(ValueError):
         index.Index.open(spark, str(tmp_path / "ix"), "elias")
