@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.session import stored, task_count
+from lexmill.session import discard, shuffles_removed, stored, task_count
 
 #: Rows that the partitioning and the classifier are fitted on, at most; and of each partition that is cut again.
 SAMPLE, SAMPLE_BELOW = 12_000, 6_000
@@ -29,6 +29,10 @@ HELD_BACK = 2_000
 RECALL = 0.96
 #: Members of a partition that one task compares at once; larger partitions are cut into such blocks.
 BLOCK = 16_384
+#: Rows with a vector that one round of the search shuffles: so many for each member, or so many in all, if that is
+#: more. What a round has shuffled is removed before the next, so disk doesn't grow with the partitions that a query
+#: looks into.
+ROUND, ROUND_LEAST = 3, 1 << 18
 GRAPH_K = 10
 #: Neighbours found beyond the k wanted where the vectors as given are to rank them.
 SLACK = 6
@@ -310,6 +314,7 @@ def _fit_below(classes: DataFrame, dim: int, top: Router) -> dict[int, Router]:
     sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     large = [(p, n, min(parts_for(n), BELOW)) for p, n in sorted(sizes.items()) if parts_for(n) > 1]
     if not large:
+        discard(placed)
         return {}
     plan = F.broadcast(classes.sparkSession.createDataFrame(large, "part int, n bigint, parts int"))
     some = placed.join(plan, "part").filter(F.pmod(F.xxhash64("id", F.lit(7)), F.col("n")) < SAMPLE_BELOW)
@@ -319,14 +324,40 @@ def _fit_below(classes: DataFrame, dim: int, top: Router) -> dict[int, Router]:
         router = fit_partitions(np.frombuffer(b"".join(rows["unit"]), np.float32).reshape(-1, dim), int(rows["parts"].iloc[0]))
         return pd.DataFrame({"part": [rows["part"].iloc[0]], "router": [pickle.dumps(router)]})
 
-    fitted = some.select("part", "parts", "id", "unit").groupBy("part").applyInPandas(fit, "part int, router binary")
-    return {r["part"]: pickle.loads(bytes(r["router"])) for r in fitted.collect()}
+    fitted = some.select("part", "parts", "id", "unit").groupBy("part").applyInPandas(fit, "part int, router binary").collect()
+    discard(placed)
+    return {r["part"]: pickle.loads(bytes(r["router"])) for r in fitted}
+
+
+#: A cell, a partition and a group of its queries, is numbered so that cells lie in the order of both.
+_CELLS = 1 << 20
+
+
+def rounds_of(members: dict[int, int], visits: dict[int, int], limit: float) -> list[tuple[int, int]]:
+    """First and last cell of each round: consecutive cells that together shuffle ``limit`` rows at most, or one cell.
+
+    members, visits: rows of each partition and queries that come to it. A partition of n blocks has n cells.
+    """
+    rounds: list[tuple[int, int]] = []
+    load = math.inf
+    for part, m in sorted(members.items()):
+        n = -(-m // BLOCK)
+        # a cell has all members and a group of the queries, which meet every block
+        each = m + visits.get(part, 0)
+        for cell in range(part * _CELLS, part * _CELLS + n):
+            load += each
+            if load > limit:
+                rounds.append((cell, cell))
+                load = each
+            rounds[-1] = rounds[-1][0], cell
+    return rounds
 
 
 def nearest_classes(classes: DataFrame, dim: int, k: int, least: float, queries: DataFrame | None = None, recall: float = RECALL, exact: bool = False) -> DataFrame:
-    """a, b, cosine: for each class its nearest other classes, at most k + 1 per block searched (not yet cut to k).
+    """a, b, cosine: for each class its k nearest other classes, as a table that is stored.
 
-    classes: id, unit with distinct units. queries: the ids to search for (all, if None).
+    classes: id, unit with distinct units; a stored table is discarded once its rows lie in partitions. queries: the
+    ids to search for (all, if None). Partitions are searched in rounds of as many as disk has room for (see ROUND).
     """
     spark = classes.sparkSession
     schema = "a bigint, b bigint, cosine double"
@@ -335,31 +366,42 @@ def nearest_classes(classes: DataFrame, dim: int, k: int, least: float, queries:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(tree)
 
-    def route(role: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    part = batch.slice(a, 1024)
-                    x = _matrix(part.column(1), dim)
-                    rows, leaves = (np.arange(len(x)), shared.value.home(x)) if role == 0 else shared.value.routes(x, 2.0 if exact else None)
-                    moved = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([*moved.columns, pa.array(leaves.astype(np.int32)), pa.array(np.full(len(rows), role, np.int8))], names=["id", "unit", "part", "role"])
-
-        return run
-
-    routed = "id bigint, unit binary, part int, role tinyint"
-    members = stored(classes.select("id", "unit").mapInArrow(route(0), routed), "members")
-    asked = classes if queries is None else classes.join(queries.select("id"), "id", "left_semi")
-    probing = asked.select("id", "unit").mapInArrow(route(1), routed)
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                x, asked = _matrix(part.column(1), dim), part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                sizes, leaves = np.zeros(len(x), np.int64), np.zeros(0, np.int64)
+                if asked.any() and not exact:
+                    rows, leaves = shared.value.routes(x[asked])
+                    sizes[asked] = np.bincount(rows, minlength=int(asked.sum()))
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                looks = pa.ListArray.from_arrays(ends, pa.array(leaves.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.home(x).astype(np.int32)), looks], names=["id", "unit", "asked", "part", "looks"])
+
+    marked = classes.withColumn("asked", F.lit(True)) if queries is None else classes.join(queries.select("id", F.lit(True).alias("asked")), "id", "left")
+    marked = marked.select("id", "unit", F.coalesce("asked", F.lit(False)).alias("asked"))
+    # looks: the partitions that a query looks into (all of them, if exact, and then they aren't written out)
+    members = stored(marked.mapInArrow(route, "id bigint, unit binary, asked boolean, part int, looks array<int>"), "members")
+    discard(classes)
+    asked = members.filter("asked")
+    # a row for each partition: at most TOP[1] * BELOW
+    sizes = {r["part"]: r["n"] for r in members.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    if exact:
+        visits = dict.fromkeys(sizes, asked.count())
+    else:
+        visits = {r["part"]: r["n"] for r in asked.select(F.explode("looks").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
     # a partition with more than BLOCK members is cut into blocks, and the queries that come to it into as many
     # groups; each block meets each group in a task of its own. The table has a row per such partition.
-    cut = stored(members.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).filter("n > 1"), "cut")
-    def laid(rows: DataFrame, own: str, each: str) -> DataFrame:
-        n = F.coalesce(F.col("n"), F.lit(1))
-        placed = rows.join(F.broadcast(cut), "part", "left").withColumn(own, F.pmod(F.xxhash64("id"), n).cast("int"))
-        return placed.withColumn(each, F.explode(F.sequence(F.lit(0), n - 1))).select("part", "block", "group", "role", "id", "unit")
+    cut = [(p, -(-m // BLOCK)) for p, m in sizes.items() if m > BLOCK]
+    cut = F.broadcast(spark.createDataFrame(cut, "part int, n int"))
 
-    both = laid(members, "block", "group").unionByName(laid(probing, "group", "block"))
+    def laid(rows: DataFrame, own: str, each: str, first: int, last: int) -> DataFrame:
+        n = F.coalesce(F.col("n"), F.lit(1))
+        placed = rows.join(cut, "part", "left").withColumn(own, F.pmod(F.xxhash64("id"), n).cast("int"))
+        placed = placed.withColumn(each, F.explode(F.sequence(F.lit(0), n - 1)))
+        cell = F.col("part").cast("bigint") * _CELLS + F.col("group")
+        return placed.filter(cell.between(first, last)).select("part", "block", "group", "role", "id", "unit")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (part, block, group, role): the members of a block, at most a few BLOCK, then queries."""
@@ -385,9 +427,30 @@ def nearest_classes(classes: DataFrame, dim: int, k: int, least: float, queries:
                 for c in range(0, len(x), 512):
                     yield _best(x[c : c + 512], i[c : c + 512], flat, members_ids, k, least)
 
-    tasks = min(task_count(classes), tree.leaves) if cut.isEmpty() else task_count(classes)
-    ordered = both.repartition(tasks, "part", "block", "group").sortWithinPartitions("part", "block", "group", "role")
-    return ordered.mapInArrow(search, schema)
+    near = None
+    limit = max(ROUND * sum(sizes.values()), ROUND_LEAST)
+    for first, last in rounds_of(sizes, visits, limit):
+        low, high = first // _CELLS, last // _CELLS
+        inside = F.sequence(F.lit(low), F.lit(high)) if exact else F.filter("looks", lambda p: p.between(low, high))
+        probing = asked.select("id", "unit", F.explode(inside).alias("part"), F.lit(1).cast("tinyint").alias("role"))
+        held = members.filter(F.col("part").between(low, high)).select("id", "unit", "part", F.lit(0).cast("tinyint").alias("role"))
+        both = laid(held, "block", "group", first, last).unionByName(laid(probing, "group", "block", first, last))
+        tasks = min(task_count(members), sum((-(-m // BLOCK)) ** 2 for p, m in sizes.items() if low <= p <= high))
+        ordered = both.repartition(tasks, "part", "block", "group").sortWithinPartitions("part", "block", "group", "role")
+        found = ordered.mapInArrow(search, schema)
+        before, near = near, _first(found if near is None else found.unionByName(near), "a", k, F.desc("cosine"), F.asc("b")).drop("_n")
+        with shuffles_removed(spark):
+            near = stored(near, "near")
+        if before is not None:
+            discard(before)
+    discard(members)
+    return near
+
+
+def _first(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of each key with their rank ``_n``: cut within each task before the shuffle, so that no
+    class or list is gathered."""
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= n)
 
 
 def _best(x: np.ndarray, i: np.ndarray, members: np.ndarray, ids: np.ndarray, k: int, least: float) -> pa.RecordBatch:
@@ -417,31 +480,32 @@ def most_similar(rows: DataFrame, record: str, vec: str, k: int = 10, dim: int =
     no row. Records of equal direction are one class in the search; each class hands on its k + 1 least records
     only, as no further one can be among anybody's k nearest.
     """
-    units = stored(directions(rows, record, vec, dim), "units")
-    classes = units.groupBy("unit").agg(F.min("record").alias("id"))
-    class_of = units.withColumn("key", F.sha2("unit", 256)).select("record", "key")
-    classes = stored(classes, "classes")
-    named = classes.select("id", F.sha2("unit", 256).alias("key"))
-    members = class_of.join(named, "key").select("record", "id")
-
-    # ranks up to a bound are cut within each task before the shuffle, so that no class or list is gathered
-    best = lambda rows, key, n, *order: rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= n)
-    # the k + 1 least records of each class
+    spark = rows.sparkSession
     held = k + 1 + (SLACK if refine else 0)
-    first = best(members, "id", held, F.asc("record")).select("id", F.col("record").alias("neighbour"))
-    wanted = members if queries is None else members.join(queries.select(F.col(record).cast("bigint").alias("record")), "record", "left_semi")
-    asked = None if queries is None else wanted.select("id").distinct()
-    near = nearest_classes(classes, dim, held - 1, least, asked, recall, exact).unionByName(classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")))
-    # k nearest classes hold the k nearest records
-    cut = best(near, "a", held, F.desc("cosine"), F.asc("b")).drop("_n")
-    pairs = wanted.withColumnRenamed("id", "a").join(cut, "a").join(first.withColumnRenamed("id", "b"), "b").filter("record <> neighbour")
-    out = best(pairs, "record", k + SLACK if refine else k, F.desc("cosine"), F.asc("neighbour"))
+    # tables with vectors go as soon as nothing reads them any more: disk holds one or two of them at any time
+    with shuffles_removed(spark):
+        units = stored(directions(rows, record, vec, dim), "units")
+        classes = stored(units.groupBy("unit").agg(F.min("record").alias("id")), "classes")
+        named = classes.select("id", F.sha2("unit", 256).alias("key"))
+        members = stored(units.select("record", F.sha2("unit", 256).alias("key")).join(named, "key").select("record", "id"), "records")
+        discard(units)
+        wanted = members if queries is None else members.join(queries.select(F.col(record).cast("bigint").alias("record")), "record", "left_semi")
+        asked = wanted.select("id").distinct()
+        near = nearest_classes(classes, dim, held - 1, least, None if queries is None else asked, recall, exact)
+
+    # the k + 1 least records of each class
+    first = _first(members, "id", held, F.asc("record")).select(F.col("id").alias("b"), F.col("record").alias("neighbour"))
+    near = near.unionByName(asked.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")))
+    # k nearest classes hold the k nearest records; the lists are made once a class, then handed to its records
+    lists = _first(near.join(first, "b"), "a", held, F.desc("cosine"), F.asc("neighbour")).select("a", "neighbour", "cosine")
+    pairs = wanted.withColumnRenamed("id", "a").join(lists, "a").filter("record <> neighbour")
+    out = _first(pairs, "record", k + SLACK if refine else k, F.desc("cosine"), F.asc("neighbour"))
     if refine:
         vecs = usable_vectors(rows, record, vec, dim)
         dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
         both = out.select("record", "neighbour").join(vecs, "record").join(vecs.select(F.col("record").alias("neighbour"), F.col("vec").alias("other")), "neighbour")
         cosine = F.round(dot("vec", "other") / F.sqrt(dot("vec", "vec")) / F.sqrt(dot("other", "other")), 9)
-        out = best(both.select("record", "neighbour", cosine.alias("cosine")), "record", k, F.desc("cosine"), F.asc("neighbour"))
+        out = _first(both.select("record", "neighbour", cosine.alias("cosine")), "record", k, F.desc("cosine"), F.asc("neighbour"))
     out = out.filter(F.col("cosine") >= least)
     return out.select(F.col("record").alias(record), "neighbour", "cosine", F.col("_n").cast("bigint").alias("rank"))
 

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import threading
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import bpe, common, leakage, neardup, neighbours, stuffing
+from lexmill.session import shared_folder
 from tests.conftest import rows
 
 WORD = re.compile("[a-z0-9]+")
@@ -347,6 +349,46 @@ def test_hot_partition_is_cut_into_blocks(spark, monkeypatch):
     assert got == {i: best[i] for i in range(400)}
 
 
+@pytest.mark.parametrize("exact", [False, True])
+@pytest.mark.parametrize("block", [16_384, 64])
+def test_search_in_rounds_finds_the_same_on_bounded_disk(spark, monkeypatch, exact, block):
+    """Vectors without structure, so that a query looks into most of 32 partitions."""
+    n = 3000
+    x = np.random.default_rng(6).standard_normal((n, 100))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    folders = [*spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString(), shared_folder(spark).removeprefix("file:")]
+
+    def used():
+        files = (os.path.join(at, f) for folder in folders for at, _, names in os.walk(folder) for f in names if f.startswith(("shuffle_", "part-")))
+        return sum(os.path.getsize(f) for f in files if os.path.exists(f))
+
+    monkeypatch.setattr(neighbours, "PER_PART", 100)
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "ROUND_LEAST", 0)
+    before, peak, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            try:
+                peak[0] = max(peak[0], used())
+            except OSError:  # removed meanwhile
+                pass
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = {r.id: r.neighbour for r in neighbours.most_similar(df, "id", "vec", k=1, exact=exact).collect()}
+    finally:
+        over.set()
+        watcher.join()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    right = np.mean([got[i] == sim[i].argmax() for i in range(n)])
+    assert len(got) == n and right >= (1 if exact else 0.9)
+    assert peak[0] - before < 4 * 8 * 100 * n
+
+
 def test_balanced_partition_follows_clusters():
     rng = np.random.default_rng(0)
     x = np.repeat(np.eye(8, 100), 50, 0) * 3 + rng.standard_normal((400, 100)) * 0.1
