@@ -181,6 +181,42 @@ def test_passages_with_small_edits_are_near(spark):
     assert [(r.doc_id, r.run_words, r.near_words, r["match"]) for r in got] == [(1, 11, 12, "near")]
 
 
+def test_all_near_passages_are_found(spark, tmp_path, monkeypatch):
+    """Also those with edits on both sides of a window's rarest word, and with words that no document has."""
+    rng = random.Random(21)
+    vocab = [f"v{i}" for i in range(60)] + ["the"] * 15
+    items = [(i, [rng.choice(vocab) for _ in range(rng.choice([11, 12, 13, 30]))]) for i in range(14)] + [(90, [f"u{i}" for i in range(12)])]
+    docs = [(900, ["u0", "u1", "u2", "x", "u4", "u5", "u6", "x", "u8", "u9", "u10", "u11"])]
+    items.append((91, [f"x{i}" for i in range(12)]))
+    docs.append((901, ["x0", "x1", "x2", "x3", "x4", "y", "y", "y", "x5", "x6", "x7", "x8", "x9", "y", "y"]))
+    for i in range(70):
+        w = list(items[rng.randrange(14)][1])
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [rng.choice(vocab)] * rng.randrange(2)
+        if i % 3 == 0:
+            w[::2], w[1::2] = w[1::2] + w[::2][len(w[1::2]) :], w[::2][: len(w[1::2])]
+        docs.append((i, [rng.choice(vocab) for _ in range(rng.randrange(8))] + w))
+    want = {}
+    for d, w in docs:
+        for i, q in items:
+            for shift in range(-len(q) - 2, len(w) + 3):
+                met = [t in w[max(0, shift + p - 2) : max(0, shift + p + 3)] for p, t in enumerate(q)]
+                n = max((sum(met[a : a + 12]) for a in range(len(q) - 11)), default=0)
+                if n >= 10:
+                    want[d, i] = max(n, want.get((d, i), 0))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    ev = spark.createDataFrame([(i, " ".join(q)) for i, q in items], "item_id bigint, text string")
+    got = rows(leakage.leaked_passages(df, "doc_id", "text", ev, "item_id", "text"))
+    assert {(d, i): n for d, i, _, n, _ in got} == want and (900, 90) in want and (901, 91, 0, 10, "near") in got
+    part = rows(leakage.leaked_passages(df, "doc_id", "text", ev, "item_id", "text", whole=False))
+    assert {r[:2] for r in part} < {r[:2] for r in got}
+    assert {r[:2] for r in part if r[4] == "exact"} == {r[:2] for r in got if r[4] == "exact"}
+    saved = leakage.save_index(df, "doc_id", "text", f"{tmp_path}/index", files=2)
+    monkeypatch.setattr(leakage, "_MET", 50)
+    assert rows(leakage.leaked_passages(None, "doc_id", "text", ev, "item_id", "text", index=saved)) == got
+
+
 def test_stuffed_pages(spark):
     rng = random.Random(6)
     letters = ("kar", "mel", "tos", "vin", "dro", "sal", "bre", "fun", "hod", "jit")
